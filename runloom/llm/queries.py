@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, urls
+from . import html_text, media, mixing, urls
 from .common import table
 
 #: The rules of op3.
@@ -20,6 +20,10 @@ URL_RULES = [
 ]
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -35,6 +39,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_main_text": op2_main_text,
     "op3_url_digest_filter": op3_url_digest_filter,
     "op4_media_wav": op4_media_wav,
     "op10_source_mix": op10_source_mix,
