@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, html_text, media, mixing, token_files, urls
+from . import hnsw, html_text, media, mixing, packing, token_files, urls
 from .common import table
 
 #: The rules of op3.
@@ -44,6 +44,10 @@ def op4_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op9_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_main_text": op2_main_text,
     "op3_url_digest_filter": op3_url_digest_filter,
     "op4_media_wav": op4_media_wav,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_hnsw_shards": op9_hnsw_shards,
     "op10_source_mix": op10_source_mix,
 }
