@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, html_text, media, mixing, packing, token_files, urls
+from . import hnsw, html_text, media, mixing, packing, simhash, token_files, urls
 from .common import table
 
 #: The rules of op3.
@@ -44,6 +44,11 @@ def op4_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op5_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_main_text": op2_main_text,
     "op3_url_digest_filter": op3_url_digest_filter,
     "op4_media_wav": op4_media_wav,
+    "op5_simhash_bk": op5_simhash_bk,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_hnsw_shards": op9_hnsw_shards,
     "op10_source_mix": op10_source_mix,
