@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, html_text, media, mixing, packing, simhash, token_files, urls
+from . import hnsw, html_text, media, mixing, packing, simhash, suffix_dedup, token_files, urls
 from .common import table
 
 #: The rules of op3.
@@ -53,6 +53,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_wav": op4_media_wav,
     "op5_simhash_bk": op5_simhash_bk,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_prefix_free_dedup": op8_prefix_free_dedup,
     "op9_hnsw_shards": op9_hnsw_shards,
     "op10_source_mix": op10_source_mix,
 }
