@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, html_text, media, mixing, packing, simhash, suffix_dedup, token_files, urls
+from . import hnsw, html_text, media, mixing, packing, simhash, suffix_dedup, token_files, toxicity, urls
 from .common import table
 
 #: The rules of op3.
@@ -53,6 +53,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.severity(docs, model).select("doc_id", F.round("severity", 6).alias("severity"), "grade", "rejected")
+
+
 def op8_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_wav": op4_media_wav,
     "op5_simhash_bk": op5_simhash_bk,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity_ordinal": op7_toxicity_ordinal,
     "op8_prefix_free_dedup": op8_prefix_free_dedup,
     "op9_hnsw_shards": op9_hnsw_shards,
     "op10_source_mix": op10_source_mix,
