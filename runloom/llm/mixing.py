@@ -70,19 +70,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     targets = source_targets(sized, weights, share, most)
     if sized.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
         sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("d.doc_id", "d.source", "size", "source_size", "target", rate.alias("rate"))
-        .withColumn("copies", (F.floor("rate") + (draw("doc_id", seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+        .select("d.doc_id", "d.source", "size", "source_size", "target", copies_at(seed).alias("copies"))
     )
 
 
-def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as the mix takes it.
+def copies_at(seed: int) -> Column:
+    """How often a row with source_size and target is taken: floor(rate), and once more by its draw."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return (F.floor(rate) + (draw("doc_id", seed) < rate - F.floor(rate)).cast("long")).cast("long")
+
 
-    One row per distinct id decides for all its rows. Columns stay as they are.
+def emit(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as mix() takes it, with its columns as they are.
+
+    Only sums per source are shuffled; texts stay where they are read.
     """
-    copies = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("n")).select(F.col("doc_id").alias("_id"), "n")
-    many = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return many.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    sized = docs.select("source", word_count().alias("size"))
+    targets, _ = written(source_targets(sized, weights, share, most), "mix-targets")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
+    targets = targets.withColumnRenamed("source", "_source").withColumnsRenamed({"source_size": "_size", "target": "_target"})
+    taken = copies_at(seed)
+    joined = docs.join(targets, docs["source"].eqNullSafe(F.col("_source")))
+    named = joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), F.col("_size").alias("source_size"), F.col("_target").alias("target"))
+    return named.select("row", F.explode(F.array_repeat(F.lit(1), taken.cast("int"))).alias("copy")).select("row.*")

@@ -231,3 +231,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     of_linked = of_linked.withColumnRenamed("fp", "of")
     every = nodes.join(of_linked, nodes["fp"] == of_linked["of"], "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return known.join(every, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id.
+
+    Columns stay as they are. Of rows that share that doc_id one stays; rows without doc_id stay
+    only where nothing else is in their group, and then one does.
+    """
+    found = near_duplicates(docs, shingle, radius)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])

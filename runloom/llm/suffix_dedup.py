@@ -377,7 +377,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of the texts; other columns, and null texts, stay as they are.
 
-    A cut can fall inside a character; bytes of such a broken character are left out too.
+    A column n_chars becomes the number of characters left. A cut can fall inside a character; bytes of such a broken character are left out too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,4 +387,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if j == i else c for j, c in enumerate(b.columns) if b.schema.names[j] != "spans"]
             yield pa.RecordBatch.from_arrays(columns, names=[n for n in b.schema.names if n != "spans"])
 
-    return removed_spans(docs, length).mapInArrow(run, docs.schema)
+    left = removed_spans(docs, length).mapInArrow(run, docs.schema)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
