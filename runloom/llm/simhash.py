@@ -13,6 +13,7 @@ broadcast, for they grow with the corpus.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -75,7 +76,7 @@ def agreeing(different: int, radius: int) -> int:
 
     def work(agree: int) -> float:
         n = radius + agree
-        return comb(n, agree) * (20 + 0.5 * different / 2 ** (64 * agree // n))
+        return comb(n, agree) * (60 + 0.5 * different / 2 ** (64 * agree // n))
 
     return min((1, 2, 3, 4), key=work)
 
@@ -233,12 +234,94 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return known.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id.
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted 32-bit hashes of the different shingles; a shorter text is one shingle, one without words none."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.int32)
+    n = max(1, len(words) - shingle + 1)
+    one = xxhash.xxh32_intdigest
+    return np.unique(np.fromiter((one(" ".join(words[i : i + shingle]).encode()) for i in range(n)), np.uint32, n)).view(np.int32)
+
+
+#: Shingles of a component up to which one task goes through it.
+COMPONENT = 4_000_000
+
 
-    Columns stay as they are. Of rows that share that doc_id one stays; rows without doc_id stay
-    only where nothing else is in their group, and then one does.
+def leaders(members: DataFrame, similarity: float, component: int = COMPONENT) -> DataFrame:
+    """Those of ``members`` (component_id, doc_id, shingles) that stay: doc_ids.
+
+    In order of doc_id, a member stays unless it is at least ``similarity`` like one
+    of its component that stays. A component of few shingles is gone through in one
+    task. Of a larger one the first stays and all that are like it go, in one pass of
+    all tasks, until what is left is small enough.
+    """
+    schema = "doc_id " + dict(members.dtypes)["doc_id"]
+
+    def go_through(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        sets = [x.as_py() for x in table.column("shingles")]
+        stay: list[int] = []
+        holders: dict[int | None, list[int]] = {}  # by shingle, who of those that stay has it; None: sets that are empty
+        for i in order.tolist():
+            shared = Counter(j for h in sets[i] or (None,) for j in holders.get(h, ()))
+            if not any(n >= similarity * (len(sets[i]) + len(sets[j]) - n) for j, n in shared.items()):
+                stay.append(i)
+                for h in sets[i] or (None,):
+                    holders.setdefault(h, []).append(i)
+        return pa.table({"doc_id": table.column("doc_id").take(pa.array(stay, pa.int64()))})
+
+    kept = None
+    left, path = written(members, "members")
+    while True:
+        size = left.groupBy("component_id").agg(F.sum(F.size("shingles").cast("long") + 1).alias("_size"))
+        large, large_path = written(size.where(F.col("_size") > component).select("component_id"), "large")
+        some = large.limit(1).count() > 0
+        small = left.join(large, "component_id", "left_anti") if some else left
+        done = small.groupBy("component_id").applyInArrow(go_through, schema)
+        kept = done if kept is None else kept.unionByName(done)
+        if not some:
+            return kept
+        rest = left.join(large, "component_id")
+        first = rest.groupBy("component_id").agg(F.min_by("shingles", "doc_id").alias("_first"), F.min("doc_id").alias("_id"))
+        first, _ = written(first, "first")
+        kept = kept.unionByName(first.select(F.col("_id").alias("doc_id")))
+        both = F.size(F.array_intersect("shingles", "_first"))
+        alike = both / F.greatest(F.size("shingles") + F.size("_first") - both, F.lit(1)) >= similarity
+        none = (F.size("shingles") == 0) & (F.size("_first") == 0)
+        left, path = written(rest.join(first, "component_id").where(~(alike | none)).select(*members.columns), "members")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without those that are near-duplicates of a document of a smaller doc_id that stays.
+
+    Candidates are documents whose fingerprints links join; a document goes only if
+    at least ``similarity`` of its and a staying one's shingles of ``shingle`` words
+    are shared (those of both over those of either), so that a chance likeness of fingerprints
+    removes nothing. Columns stay as they are. Of rows that share a doc_id one stays
+    at most; rows without doc_id are no candidates and all stay. An empty table stays empty.
     """
-    found = near_duplicates(docs, shingle, radius)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    found, _ = written(near_duplicates(named, shingle, radius), "candidates")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    suspects = found.join(groups, "component_id").select("doc_id", "component_id").distinct()
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingle_set(t.as_py(), shingle) for t in b.column("text")]
+            marks = [xxhash.xxh64_intdigest(m.tobytes()) for m in made]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("component_id"), b.column("doc_id"), pa.array(made, pa.list_(pa.int32())), pa.array(np.array(marks, np.uint64).view(np.int64))],
+                names=["component_id", "doc_id", "shingles", "mark"],
+            )
+
+    texts = named.select("doc_id", text_or_empty().alias("text")).join(suspects, "doc_id").select("component_id", "doc_id", "text")
+    members = texts.mapInArrow(sets, f"component_id {kind}, doc_id {kind}, shingles array<int>, mark long")
+    # whole copies go at once: of members with the same set the first is kept
+    members = members.groupBy("component_id", "mark").agg(F.min("doc_id").alias("doc_id"), F.min_by("shingles", "doc_id").alias("shingles"))
+    stay = leaders(members.select("component_id", "doc_id", "shingles"), similarity)
+    alone = found.join(groups, "component_id", "left_anti").select("doc_id")
+    keep = alone.unionByName(stay).select(F.col("doc_id").alias("_kept")).distinct()
+    unnamed = docs.where(F.col("doc_id").isNull())
+    return docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)

@@ -1,0 +1,81 @@
+"""Registered queries against SQL or brute force on the smallest tables, the pipeline, and the graph search."""
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from oracle import rows_of_spark, rows_of_sql
+
+from conftest import SF
+from runloom.llm import hnsw
+from runloom.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    got, columns = rows_of_spark(QUERIES[name](spark, SF))
+    want, names = rows_of_sql(ORACLES[name], SF)
+    assert columns == names and got == want and got
+
+
+def exact(ids, vectors, every, k):
+    found = {}
+    for i, q in zip(ids, vectors, strict=True):
+        if i % every == 0:
+            score = vectors @ q
+            order = np.lexsort((ids, -score))
+            found[i] = [int(ids[j]) for j in order if ids[j] != i][:k]
+    return found
+
+
+def test_nearest(spark):
+    got = QUERIES["op9_hnsw_shards"](spark, SF).collect()
+    t = pq.read_table(f"{SF}/embeddings.parquet").to_pandas()
+    ids, x = t.vec_id.to_numpy(), np.stack(t.embedding).astype(float)
+    want, mine = exact(ids, x, 20, 20), {}
+    for r in got:
+        mine.setdefault(r["query_id"], []).append(r)
+    assert set(mine) == set(want)
+    place = {int(i): j for j, i in enumerate(ids)}
+    for q, rows in mine.items():
+        rows.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, 21)) and q not in [r["vec_id"] for r in rows]
+        assert [(-r["score"], r["vec_id"]) for r in rows] == sorted((-r["score"], r["vec_id"]) for r in rows)
+        assert all(abs(r["score"] - x[place[q]] @ x[place[r["vec_id"]]]) < 1e-12 for r in rows)
+    assert np.mean([len(set(want[q]) & {r["vec_id"] for r in mine[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_nearest_over_many_shards_of_uneven_norms(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest(df, every=20, k=20, shard_rows=300).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(np.arange(1500), x, 20, 20)
+    assert np.mean([len(set(want[q]) & got[q]) / 20 for q in want]) >= 0.9
+
+
+def test_nearest_takes_no_bad_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (None, [1.0, 1.0]), (8, [1.0]), (20, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in hnsw.nearest(df).collect())
+    assert got == [(0, 1, 6, 1.0), (0, 2, 7, 1.0), (0, 3, 20, 1.0), (20, 1, 0, 1.0), (20, 2, 6, 1.0), (20, 3, 7, 1.0)]
+    assert hnsw.nearest(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    for name, stage in p.STAGES[:-1]:
+        before = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        rows = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        assert set(rows) <= before and rows
+        if name != "source_mixing":
+            assert len(rows) == len(set(rows)), name
+    whole = p.run(spark, SF)
+    assert whole.count() >= docs.count() > 0
+    assert whole.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 4096").count() == 0
