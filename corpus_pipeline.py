@@ -13,17 +13,13 @@ from runloom.llm import mixing, packing, simhash, suffix_dedup, toxicity
 from runloom.llm.common import table, written
 from runloom.llm.queries import vocabulary
 
-#: Near-duplicates share five-word shingles; 8 of 64 bits apart is a similarity of 0.8 to 0.85.
-SHINGLE, RADIUS = 5, 8
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.severity(docs, model).where("not rejected").select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, SHINGLE, RADIUS)
+    return simhash.one_of_each(docs)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
