@@ -32,9 +32,9 @@ SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 #: Words in a class or id that mark what isn't the article.
 BOILERPLATE = frozenset(
     "nav navbar navigation menu menubar topbar toolbar masthead footer sidebar aside widget widgets breadcrumb breadcrumbs pagination pager"
-    " ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion"
-    " notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search"
-    " social share sharing related recommended comment comments commentlist reply replies respond disqus discussion".split()
+    " ad ads adv advert adverts advertisement advertisements advertising adsbygoogle adsense adbox adblock adslot adunit adspace banner sponsor sponsored promo promotion"
+    " notice notices alert alerts announcement disclaimer paywall cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search"
+    " social share sharing related recommended comment comments commentlist reply replies respond responses reactions disqus discussion".split()
 )
 
 _TOKEN = re.compile(
@@ -47,7 +47,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_DIGITS, _WORDS, _STATE = re.compile(r"\d+"), re.compile(r"[a-z]+"), re.compile(r"^(?:has|no|with|without|is|not)[-_]")
+_DIGITS, _WORDS, _STATE = re.compile(r"\d+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), re.compile(r"^(?:has|no|with|without|is|not)[-_]")
 #: A path names so many of a container's innermost levels.
 LEVELS = 8
 #: Votes are whole numbers, so that sums don't depend on their order.
@@ -116,17 +116,22 @@ class Page:
                         break
                     if stack[i][0] in scope:
                         break
+            if tag in ("article", "main"):  # a menu or page header that was never closed ends here
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in ("nav", "header", "footer"):
+                        del stack[i:]
             _, at, dropped, link, article = stack[-1]
             attrs = m["attrs"]
             classes: list[str] = []
             words: set[str] = set()
             if attrs and "=" in attrs or "hidden" in attrs:
                 for a in _ATTR.finditer(attrs):
-                    name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+                    name, written_ = a[1].lower(), a[2] or a[3] or a[4] or ""
+                    value = written_.lower()
                     if name == "class":
                         classes = value.split()
                     if name in ("class", "id"):
-                        words.update(w for c in value.split() if not _STATE.match(c) for w in _WORDS.findall(c))
+                        words.update(w.lower() for c in written_.split() if not _STATE.match(c.lower()) for w in _WORDS.findall(c))
                     elif name == "role":
                         dropped = dropped or value.strip() in ROLES
                     elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):

@@ -90,6 +90,8 @@ PAGE = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><
 def test_page_without_its_furniture():
     assert Page(PAGE.format(n=12, c="c" * 900)).text(None) == "Hé 12 Some bold text, more & more, long enough. Second one of the page. one two"
     assert Page("").text(None) == "" and Page("<nav>only</nav>").text(None) == ""
+    assert Page("<nav>menu<article><p>text</p></article>").text(None) == "text"
+    assert Page('<div class="siteHeader">h</div><div class="adBox-3">b</div><div class="main-content"><p>text here</p><div id="userComments">c</div></div>').text(None) == "text here"
     assert Page("plain <b>te").text(None) == "plain te"
     assert Page("<article><h1>T</h1><div><p>body text</p></div></article><p>after</p>").text(None) == "T body text"
 
