@@ -39,6 +39,23 @@ def build(keys: DataFrame, bits: int, hashes: int, key: str = "key", by: tuple[s
     return keys.where(F.length(key) > 0).select(*by, F.explode(positions(F.col(key), bits, hashes)).alias("bit")).distinct()
 
 
+def for_keys(keys: DataFrame, rate: float, key: str = "key") -> tuple[DataFrame, int, int]:
+    """A filter sized to the keys it holds (one at least): its bits, and its geometry."""
+    bits, hashes = parameters(max(1, keys.count()), rate)
+    return build(keys, bits, hashes, key), bits, hashes
+
+
+def runs_to_read(probes: DataFrame, zones: DataFrame, filter_bits: DataFrame, bits: int, hashes: int, key: str = "key") -> DataFrame:
+    """(key, run) of the runs that may hold each probe: its key lies in the run's range and all its bits are set there.
+
+    ``zones`` has a row per run (run, min_key, max_key); ``filter_bits`` has run and bit.
+    """
+    near = probes.where(F.length(key) > 0).select(key).distinct().join(F.broadcast(zones), F.col(key).between(F.col("min_key"), F.col("max_key")))
+    asked = near.select(key, "run", F.explode(F.array_distinct(positions(F.col(key), bits, hashes))).alias("bit"))
+    hits = asked.join(filter_bits.select("run", "bit", F.lit(1).alias("_set")), ["run", "bit"], "left")
+    return hits.groupBy(key, "run").agg((F.count("*") == F.count("_set")).alias("_maybe")).where("_maybe").select(key, "run")
+
+
 def might_contain(probes: DataFrame, filter_bits: DataFrame, bits: int, hashes: int, key: str = "key") -> DataFrame:
     """``probes`` (distinct keys) with maybe: whether all bits of the key are set; false for an empty or null one."""
     asked = probes.where(F.length(key) > 0).select(key, F.explode(F.array_distinct(positions(F.col(key), bits, hashes))).alias("bit"))

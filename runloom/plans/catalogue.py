@@ -382,8 +382,7 @@ j as (select k, bool_and(b.bit is not null) maybe from p left join b on p.bit =
 
 def _filter(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int, int]:
     keys = events(spark, sf_dir).select(F.col("k").alias("key")).distinct()
-    m, h = bloom.parameters(max(1, keys.count()), 0.01)
-    return keys, bloom.build(keys, m, h), m, h
+    return keys, *bloom.for_keys(keys, 0.01)
 
 
 @query(f"select k, s.s::int seed, {_FNV.format(seed='s.s', k='k')} hash from {_KEYS}, (select unnest(range(0, 4)) s) s")
@@ -404,6 +403,19 @@ def bloom_might_contain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.might_contain(customers(spark, sf_dir).withColumnRenamed("k", "key"), bits, m, h)
 
 
+@query(
+    f"""with g as (select 1000::bigint m, 5::bigint h), b as (select distinct run, {_FNV.format(seed='s.s', k='k')} % m bit from (select distinct run, k from {E} where event_id % 3 = 0), g, (select unnest(range(0, h)) s from g) s),
+z as (select run, min(k) low, max(k) high from {E} where event_id % 3 = 0 group by run),
+p as (select distinct k, run, {_FNV.format(seed='s.s', k='k')} % m bit from {PROBES}, z, g, (select unnest(range(0, h)) s from g) s where k between low and high)
+select p.k as key, p.run from p left join b on p.run = b.run and p.bit = b.bit group by p.k, p.run having bool_and(b.bit is not null)"""
+)
+def run_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that a lookup of each customer's key has to read, by key range and filter; here runs of every third event."""
+    held = events(spark, sf_dir).where("event_id % 3 = 0")
+    bits = bloom.build(held.select("run", F.col("k").alias("key")).distinct(), 1000, 5, by=("run",))
+    return bloom.runs_to_read(customers(spark, sf_dir).withColumnRenamed("k", "key"), layout.zone_maps(held, "run", "k", "tomb"), bits, 1000, 5)
+
+
 @query(f"{_MAYBE} select count(*) probes, coalesce(sum(maybe::int), 0)::bigint false_positives, round(avg(maybe::int), 6) rate from j where k not in (select k from {_KEYS})")
 def bloom_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys, bits, m, h = _filter(spark, sf_dir)
