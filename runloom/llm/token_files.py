@@ -14,16 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, work_path
+from .common import text_or_empty, written
 
 #: The id after the last of the byte-pair vocabulary: it ends a document.
 END_OF_DOCUMENT = 50256
-#: Tokens in a block, and bytes of text in a file that write_token_files() makes.
+#: Tokens in a block, and bytes of a file that flat_files() makes.
 BLOCK = 1 << 18
-FILE_TEXT_BYTES = 8 << 20
+FILE_BYTES = 4 << 20
 
 _encoders: dict[str, object] = {}
 
@@ -59,53 +60,65 @@ def encode(text: str, ranks_path: str) -> np.ndarray:
     return np.concatenate([np.asarray(encoder.encode_ordinary(p), np.int64) for p in _parts(text)])
 
 
-def write_token_files(docs: DataFrame, path: str, ranks_path: str, files: int, end: int = END_OF_DOCUMENT) -> DataFrame:
-    """Write ``docs`` (doc_id, text) as ``files`` flat files of 16-bit ids and return who lies where.
+def flat_files(docs: DataFrame, ranks_path: str, end: int = END_OF_DOCUMENT) -> DataFrame:
+    """``docs`` (doc_id, text) as flat files: rows of file, content (16-bit ids) and doc_ids, in the order of the content.
 
-    File f is the folder ``path``/file=f with one part; Spark's text writer
-    writes the ids' bytes as they are and the separator as its line end, so
-    that any store that Spark can write will do, and a lost task is done anew.
-    Documents go to files by a hash of their id and stand there by id. The
-    result (file, ordinal, doc_id) is computed, not kept in the files. A null text
-    is an empty document: a separator alone.
+    Each task makes files of its own, of about FILE_BYTES, from its rows as they
+    come, so that nothing is shuffled; a lost task makes the same ones anew. The
+    content has no index; doc_ids is a column beside it that the scan doesn't
+    read. A null text is an empty document: a separator alone.
     """
-    file = F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("file")
-    rows = docs.select(file, "doc_id", text_or_empty().alias("text")).withColumn("same", F.xxhash64("text"))
     kind = dict(docs.dtypes)["doc_id"]
+    closing = int(end).to_bytes(2, "little")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
+        parts: list[bytes] = []
+        ids: list[pa.Array] = []
+        size = made = 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([task + made], pa.int64()), pa.array([b"".join(parts)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), pa.concat_arrays(ids))],
+                names=["file", "content", "doc_ids"],
+            )
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                c = b.slice(i, 256)
-                made = [encode(t.as_py(), ranks_path).astype("<u2").tobytes() for t in c.column("text")]
-                yield pa.RecordBatch.from_arrays([c.column("file"), c.column("doc_id"), c.column("same"), pa.array(made, pa.binary())], names=["file", "doc_id", "same", "body"])
-
-    encoded = rows.mapInArrow(tokens, f"file long, doc_id {kind}, same long, body binary")
-    dealt = encoded.repartition("file").sortWithinPartitions("file", "doc_id", "same")
-    separator = int(end).to_bytes(2, "little").decode("latin-1")
-    dealt.select("file", F.col("body").cast("string").alias("value")).write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", separator).option("compression", "none").text(path)
-    place = F.row_number().over(Window.partitionBy("file").orderBy("doc_id", "same")) - 1
-    return rows.select("file", place.cast("long").alias("ordinal"), "doc_id")
-
-
-def scan_token_files(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """file, ordinal, start and n_tokens of each document in the flat files under ``path``.
-
-    Tokens after the last separator of a file are a document too; an empty file
-    has none. A separator right after another, or at the very start, ends an empty document.
-    Files must hold whole tokens of ``width`` bytes and be under 2 GiB, the most
-    that Spark's binary reader takes. Where ``path`` has file=N folders the
-    column file is N, else the file's name.
+            for i, t in enumerate(b.column("text")):
+                parts.append(encode(t.as_py(), ranks_path).astype("<u2").tobytes() + closing)
+                ids.append(b.column("doc_id")[i : i + 1])
+                size += len(parts[-1])
+                if size >= FILE_BYTES:
+                    yield file()
+                    parts, ids, size, made = [], [], 0, made + 1
+        if parts:
+            yield file()
+
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(pack, f"file long, content binary, doc_ids array<{kind}>")
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """Real flat files under ``path`` as rows of file (their path) and content.
+
+    A file must be under 2 GiB, the most that Spark's binary reader takes.
+    """
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "content")
+
+
+def scan_token_files(files: DataFrame, end: int = END_OF_DOCUMENT, width: int = 2, block: int = BLOCK) -> DataFrame:
+    """file, ordinal, start and n_tokens of each document in flat files (rows of file and content).
+
+    Tokens after the last separator of a file are a document too; an empty or null
+    file has none. A separator right after another, or at the very start, ends an
+    empty document. Files must hold whole tokens of ``width`` bytes.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-    name = F.col("file").cast("long") if "file" in read.columns else F.col("path")
-    kind = "long" if "file" in read.columns else "string"
-    found = read.where(F.col("length") > 0).select(name.alias("file"), "content")
+    kind = dict(files.dtypes)["file"].replace("bigint", "long")
+    found = files.where(F.octet_length("content") > 0).select("file", "content")
 
     def separators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids = np.frombuffer(b.column("content")[i].as_buffer(), f"<u{width}")
+                ids = np.frombuffer(b.column("content")[i].as_py(), f"<u{width}")
                 for k, at in enumerate(range(0, len(ids), block)):
                     part = ids[at : at + block]
                     hits = np.flatnonzero(part == end)
@@ -136,15 +149,11 @@ def scan_token_files(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT,
 def token_counts(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id and n_tokens of each row of ``docs`` (doc_id, text), counted in flat token files.
 
-    The documents are written as flat files to the shared folder and the files
-    are scanned. A null or empty text has 0 tokens; rows stay one to one, repeated
+    The documents are made flat files, written to the shared folder as a table with a
+    row per file, and those are scanned. A null or empty text has 0 tokens; rows stay one to one, repeated
     ones too; an empty table gives no rows; other columns aren't read.
     """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text_or_empty())).alias("n")).first()["n"]
-    path = work_path(spark, "token-files")
-    if size is None:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
-    places = write_token_files(docs, path, ranks_path, max(1, -(-size // FILE_TEXT_BYTES)))
-    found = scan_token_files(spark, path)
+    made, _ = written(flat_files(docs, ranks_path), "token-files")
+    found = scan_token_files(made.select("file", "content"))
+    places = made.select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id")).withColumn("ordinal", F.col("ordinal").cast("long"))
     return places.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")
