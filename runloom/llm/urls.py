@@ -40,8 +40,10 @@ def digest(s: str) -> int:
 class DigestArray:
     """Sorted 64-bit keys, offsets and strings in one buffer; of equal rules the last counts."""
 
-    def __init__(self, keys: np.ndarray, ends: np.ndarray, blob: bytes, allow: np.ndarray, lengths: list[int]):
-        self.keys, self.ends, self.blob, self.allow, self.lengths = keys, ends, blob, allow, lengths
+    def __init__(self, keys: np.ndarray, ends: np.ndarray, blob: bytes, allow: np.ndarray, lengths: list[int], labels: int):
+        self.keys, self.ends, self.blob, self.allow = keys, ends, blob, allow
+        # the lengths that rules' paths have, longest first, and the most labels of a rule's host: nothing else is looked for
+        self.lengths, self.labels = lengths, labels
 
     @classmethod
     def build(cls, rules: Iterable[tuple[str, str]], digest=digest) -> DigestArray:
@@ -49,10 +51,10 @@ class DigestArray:
         rows = sorted((digest(rule), rule.encode(), verdict == "allow") for rule, verdict in named.items())
         ends = np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int64)
         lengths = sorted({len(rule) - rule.index("/") for rule in named}, reverse=True)
-        return cls(np.array([r[0] for r in rows], np.uint64), ends, b"".join(r[1] for r in rows), np.array([r[2] for r in rows], np.uint8), lengths)
+        return cls(np.array([r[0] for r in rows], np.uint64), ends, b"".join(r[1] for r in rows), np.array([r[2] for r in rows], np.uint8), lengths, max((rule[: rule.index("/")].count(".") + 1 for rule in named), default=0))
 
     def packed(self) -> bytes:
-        head = np.array([len(self.keys), len(self.blob), len(self.lengths)], np.int64)
+        head = np.array([len(self.keys), len(self.blob), len(self.lengths), self.labels], np.int64)
         return b"".join(x.tobytes() for x in (head, np.array(self.lengths, np.int64), self.keys, self.ends, self.allow)) + self.blob
 
     @classmethod
@@ -62,8 +64,8 @@ class DigestArray:
             f.write(data)
             f.flush()
             m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n, size, k = np.frombuffer(m, np.int64, 3)
-        at = 24
+        n, size, k, labels = np.frombuffer(m, np.int64, 4)
+        at = 32
 
         def take(kind, count):
             nonlocal at
@@ -73,7 +75,7 @@ class DigestArray:
 
         lengths = take(np.int64, k).tolist()
         keys, ends, allow = take(np.uint64, n), take(np.int64, n + 1), take(np.uint8, n)
-        return cls(keys, ends, memoryview(m)[at : at + int(size)], allow, lengths)
+        return cls(keys, ends, memoryview(m)[at : at + int(size)], allow, lengths, int(labels))
 
     def find(self, strings: list[str], digest=digest) -> np.ndarray:
         """The place of each string in the array, or -1."""
@@ -96,10 +98,10 @@ class DigestArray:
         return bytes(self.blob[self.ends[j] : self.ends[j + 1]]).decode()
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
+def candidates(host: str, path: str, lengths: list[int], most_labels: int) -> list[str]:
     """Rules that would fit, longest first, of one length with the longer host first."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
+    labels = host.rsplit(".", most_labels)
+    hosts = [".".join(labels[i:]) for i in range(len(labels) > most_labels, len(labels))]
     found = [h + path[:n] for h in hosts for n in lengths if len(path) >= n]
     return sorted(found, key=len, reverse=True)
 
@@ -133,7 +135,7 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", de
         for b in batches:
             asked, first = [], [0]
             for host, path in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
-                asked += candidates(host, path, array.lengths)
+                asked += candidates(host, path, array.lengths, array.labels)
                 first.append(len(asked))
             at = array.find(asked)
             hits = np.flatnonzero(at >= 0)

@@ -121,6 +121,8 @@ def test_url_rules(spark):
     assert [r["rule"] for r in got] == want
     assert [r["verdict"] for r in got] == ["block" if w in ("example.com/en/", "net/es/") else "allow" for w in want]
     assert got[0]["host"] == "example.com" and got[0]["path"] == "/en/x" and got[9]["host"] == "" == got[9]["path"]
+    long = urls.candidates("a." * 100_000 + "com", "/" * 100_000, [1], 3)
+    assert long == ["a.a.com/", "a.com/", "com/"] and urls.candidates("com", "/x", [1], 3) == ["com/"]
     assert urls.judge_urls(df.limit(0), rules).count() == 0 and urls.judge_urls(df, []).where("verdict = 'allow'").count() == len(asked)
 
 
