@@ -50,12 +50,17 @@ class Run:
 
 
 class Store:
-    """One key namespace. Writes go to a buffer of DataFrames until flush()."""
+    """One key namespace. Writes go to a buffer of DataFrames until flush(), by itself once they reach the threshold.
+
+    A batch is read when it is set (its keys are checked and its size is summed) and
+    again when it is flushed: it must give the same rows both times.
+    """
 
     def __init__(self, spark: SparkSession, path: str, config: TableConfig | None = None, version: int | None = None):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config or TableConfig()
         self.files = Files(spark)
         self.buffer: list[DataFrame] = []
+        self.buffer_bytes = 0
         self.cached: list[DataFrame] = []
         self.version, self.runs, self.next_seq = 0, [], 0
         known = self.versions()
@@ -99,9 +104,11 @@ class Store:
 
     def set(self, rows: DataFrame) -> None:
         """Upserts: rows of key, value, seq (their order in the batch) and maybe ts and tombstone."""
-        self.buffer.append(normalised(rows))
-        size = self.config.memtable_threshold
-        if size and self.buffered_bytes() >= size:
+        batch = normalised(rows)
+        size = batch.agg(F.sum(entry_size(F.col("key"), F.octet_length("value"))).alias("n")).first()["n"] or 0
+        self.buffer.append(batch)
+        self.buffer_bytes += size
+        if self.buffer_bytes >= self.config.memtable_threshold:
             self.flush()
 
     def delete(self, keys: DataFrame) -> None:
@@ -109,10 +116,6 @@ class Store:
         seq = F.col("seq") if "seq" in keys.columns else F.lit(0).cast("long")
         self.set(keys.select("key", F.lit(None).cast("binary").alias("value"), F.lit(True).alias("tombstone"), seq.alias("seq")))
 
-    def buffered_bytes(self) -> int:
-        sizes = [b.agg(F.sum(entry_size(F.col("key"), F.octet_length("value"))).alias("n")).first()["n"] or 0 for b in self.buffer]
-        return sum(sizes)
-
     def _buffered(self) -> DataFrame | None:
         found = None
         for i, batch in enumerate(self.buffer):
@@ -128,7 +131,7 @@ class Store:
         newest = latest_per_key(rows, ["key"], newest_first("run_seq", "seq"))
         run = self._write(newest.withColumn("run_seq", F.lit(self.next_seq + len(self.buffer) - 1).cast("long")), 0, self.next_seq + len(self.buffer) - 1)
         self.next_seq += len(self.buffer)
-        self.buffer = []
+        self.buffer, self.buffer_bytes = [], 0
         if run is not None:
             self._publish([*self.runs, run])
         return run

@@ -43,8 +43,7 @@ def test_invalid_keys_raise(store):
     for key in (None, ""):
         with pytest.raises(Exception, match="key must not be"):
             put(store, [(key, b"x")])
-            store.flush()
-        store.buffer = []
+    assert store.buffer == []
 
 
 def test_update_and_delete_across_flushes(store):
