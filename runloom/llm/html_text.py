@@ -140,7 +140,7 @@ class Page:
             if tag in DROPPED or tag == "header" and not article or tag not in ("html", "body", "main") and (words & BOILERPLATE or "header" in words and not article):
                 dropped = True
             if tag in CONTAINERS:
-                self.paths.append((*self.paths[at], _generalised(tag, classes))[-LEVELS:])
+                self.paths.append((*self.paths[at], _generalised(tag, [] if tag == "body" else classes))[-LEVELS:])  # a body's classes tell pages apart, not parts
                 self.parents.append(at)
                 self.articles.append(len(self.paths) - 1 if tag in ("article", "main") else self.articles[at])
                 at = len(self.paths) - 1

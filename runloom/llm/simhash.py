@@ -154,7 +154,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> Da
     for i, chosen in enumerate(combinations(blocks, agree)):
         key = F.lit(i).cast("long")
         for first, width in chosen:
-            key = F.xxhash64(key, F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)))
+            key = F.xxhash64(key, F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)))
         keys.append(key)
     dealt = nodes.select("fp", F.explode(F.array(*keys)).alias("shard"))
     large = dealt.groupBy("shard").count().where(F.col("count") > slice_rows).select("shard", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
