@@ -311,11 +311,24 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     return spans, [resolved_path, shared_path, within_path]
 
 
+#: Names of columns beside those of the documents.
+DOC, SUB, SPANS = "_dedup_doc", "_dedup_sub", "_dedup_spans"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with d and sub, which order and name its rows: sub is 0 unless ids repeat, and then a hash of the text."""
+    """``docs`` with DOC and SUB, which order and name its rows: SUB is 0 unless ids repeat, and then a hash of the text."""
     unique = docs.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count() == 0
     sub = F.lit(0).cast("long") if unique else F.xxhash64(text_or_empty())
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), sub.alias("sub"), *docs.columns)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(DOC), sub.alias(SUB), *docs.columns)
+
+
+def _with_spans(docs: DataFrame, length: int, trigger: int) -> DataFrame:
+    named = keyed(docs)
+    rows = named.select(F.col(DOC).alias("d"), F.col(SUB).alias("sub"), F.encode(text_or_empty(), "UTF-8").alias("text"))
+    found, _ = repeated_spans(rows, length, trigger)
+    per = found.groupBy(F.col("d").alias(DOC), F.col("sub").alias(SUB)).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_dedup_raw"))
+    spans = F.coalesce("_dedup_raw", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias(SPANS)
+    return named.join(per, [DOC, SUB], "left").select(*docs.columns, spans)
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -327,13 +340,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER)
     Spans are sorted and don't touch; a text without any has an empty array. A null text
     counts as empty. Rows without doc_id come after all others; rows that share a
     doc_id are ordered by a hash of their text, and whole repeats of a row are
-    one document with one result; an empty table gives no rows.
+    one document with one result; an empty table gives no rows; a column spans is replaced.
     """
-    named = keyed(docs)
-    rows = named.select("d", "sub", F.encode(text_or_empty(), "UTF-8").alias("text"))
-    found, _ = repeated_spans(rows, length, trigger)
-    per = found.groupBy("d", "sub").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("raw"))
-    return named.join(per, ["d", "sub"], "left").select(*docs.columns, F.coalesce("raw", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"))
+    kept = [c for c in docs.columns if c != "spans"]
+    return _with_spans(docs, length, trigger).select(*kept, F.col(SPANS).alias("spans"))
 
 
 def _union(spans: list[dict]) -> list[tuple[int, int]]:
@@ -383,9 +393,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = b.schema.get_field_index("text")
-            texts = [None if t is None else kept_bytes(t, s.as_py())[0].decode("utf-8", "ignore") for t, s in zip(b.column(i).cast(pa.binary()).to_pylist(), b.column("spans"), strict=True)]
-            columns = [pa.array(texts, pa.string()) if j == i else c for j, c in enumerate(b.columns) if b.schema.names[j] != "spans"]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in b.schema.names if n != "spans"])
+            texts = [None if t is None else kept_bytes(t, s.as_py())[0].decode("utf-8", "ignore") for t, s in zip(b.column(i).cast(pa.binary()).to_pylist(), b.column(SPANS), strict=True)]
+            columns = [pa.array(texts, pa.string()) if j == i else c for j, c in enumerate(b.columns) if b.schema.names[j] != SPANS]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in b.schema.names if n != SPANS])
 
-    left = removed_spans(docs, length).mapInArrow(run, docs.schema)
+    left = _with_spans(docs, length, TRIGGER).mapInArrow(run, docs.schema)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
