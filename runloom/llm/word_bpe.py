@@ -18,7 +18,7 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: ASCII signs and letters, and Latin-1 letters: composed, with one lower-case letter each.
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]*+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -28,26 +28,18 @@ _END = b"\xff"  # ends a word; no UTF-8 byte
 
 class WordIds:
     def __init__(self, path: str):
-        import json
-
         import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
         # vocabulary entries spell bytes as printable characters, byte 255 never among them
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown}
         byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks: dict[bytes, int] = {}
-        for token, number in spec["model"]["vocab"].items():
+        for token, number in self.whole.get_vocab(with_added_tokens=False).items():
             end = token.endswith("</w>")
-            try:
-                data = bytes(byte_of[c] for c in (token[:-4] if end else token))
-            except KeyError:
-                continue  # the special tokens
+            data = bytes(byte_of[c] for c in (token[:-4] if end else token))
             ranks[data + _END if end else data] = number
         # the end mark merges first, with the byte before it: all 256 such pairs are in the vocabulary
         assert all(bytes([i]) + _END in ranks for i in range(256))
