@@ -181,14 +181,14 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     many = partitions(spark, 16)
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(many)).cast("int")
     dealt = cut.withColumn("bucket", bucket)
-    # lengths x buckets rows at most, whatever the number of documents
+    # the window below deals pieces by length and bucket already, so that this join moves only the sums
     sums = dealt.groupBy("length", "bucket").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("length", "bucket", before.alias("before"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     where = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = dealt.withColumn("rank", rank).join(F.broadcast(starts), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = dealt.withColumn("rank", rank).join(starts, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     ranked = ranked.select(*cut.columns, "rank")
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
