@@ -33,7 +33,7 @@ STRETCH = 1 << 20
 #: Entries that share a trigger up to which they are sorted in one task; beyond, each of their windows is dealt out on its own.
 SHARED = 20_000
 #: Bytes of entries that are sorted together.
-TOGETHER = 3 << 20
+TOGETHER = 1 << 20
 NO_ID = (1 << 63) - 1
 
 _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
