@@ -54,15 +54,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each row of ``docs`` (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, banded: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of each row of ``docs`` (doc_id, text), and its bands if ``banded``."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("text").cast(pa.binary())), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            columns = {"doc_id": b.column("doc_id"), "fp": pa.array(made.view(np.int64))}
+            if banded:
+                columns["bands"] = pa.array([bands(shingle_set(t.as_py(), shingle)) for t in b.column("text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(convert, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, fp long" + ", bands array<long>" * banded
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(convert, schema)
 
 
 def bit_blocks(count: int) -> list[tuple[int, int]]:
@@ -221,6 +225,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     that copies cost nothing further.
     """
     known, _ = written(fingerprints(docs, shingle), "fingerprints")
+    return components(known, radius)
+
+
+def components(known: DataFrame, radius: int) -> DataFrame:
+    """``known`` (doc_id, fp, ...; a written table) with component_id: see near_duplicates."""
     nodes, _ = written(known.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     found, _ = written(links(nodes.select("fp"), radius), "near")
     hung = stars(found)
@@ -231,7 +240,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     of_linked = linked.join(least, "root").select("fp", "component_id").unionByName(least.select(F.col("root").alias("fp"), "component_id"))
     of_linked = of_linked.withColumnRenamed("fp", "of")
     every = nodes.join(of_linked, nodes["fp"] == of_linked["of"], "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return known.join(every, "fp").select("doc_id", "fp", "component_id")
+    return known.join(every, "fp").select(*known.columns, "component_id")
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -244,6 +253,37 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((one(" ".join(words[i : i + shingle]).encode()) for i in range(n)), np.uint32, n)).view(np.int32)
 
 
+#: Bands of least hashes, and hashes in each: sets that share 0.8 have no band in common once in 2,800 pairs.
+BANDS, ROWS = 20, 5
+_TIMES, _PLUS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """Of each band, a hash of the least values that its hashes give the shingles; none of an empty set."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    x = shingles.view(np.uint32).astype(np.uint64)[:, None]
+    least = np.minimum.reduce([(x[i : i + 4096] * _TIMES + _PLUS).min(0) for i in range(0, len(x), 4096)]).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)], np.uint64).view(np.int64)
+
+
+def candidates(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """doc_id and component_id of each row of ``docs`` (doc_id, text): components by links of fingerprints or of equal bands.
+
+    One fingerprint tells documents of a similarity of 0.8 apart too often; bands of
+    least hashes of the same shingles link those. A component is one node here, so that
+    its copies meet in no band.
+    """
+    known, _ = written(fingerprints(docs, shingle, banded=True), "fingerprints")
+    found, _ = written(components(known, radius), "components")
+    dealt = found.select("component_id", F.explode("bands").alias("band")).distinct()
+    shared = dealt.groupBy("band").agg(F.min("component_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    links_ = dealt.join(shared, "band").where("component_id <> least").select(F.col("component_id").alias("a"), F.col("least").alias("b"))
+    hung = stars(links_)
+    joined = found.join(hung, found["component_id"] == hung["node"], "left")
+    return joined.select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
 #: Shingles of a component up to which one task goes through it.
 COMPONENT = 4_000_000
 
@@ -295,14 +335,14 @@ def leaders(members: DataFrame, similarity: float, component: int = COMPONENT) -
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
     """``docs`` without those that are near-duplicates of a document of a smaller doc_id that stays.
 
-    Candidates are documents whose fingerprints links join; a document goes only if
+    Candidates are documents that links of fingerprints or bands join; a document goes only if
     at least ``similarity`` of its and a staying one's shingles of ``shingle`` words
     are shared (those of both over those of either), so that a chance likeness of fingerprints
     removes nothing. Columns stay as they are. Of rows that share a doc_id one stays
     at most; rows without doc_id are no candidates and all stay. An empty table stays empty.
     """
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    found, _ = written(near_duplicates(named, shingle, radius), "candidates")
+    found, _ = written(candidates(named, shingle, radius), "candidates")
     groups = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
     suspects = found.join(groups, "component_id").select("doc_id", "component_id").distinct()
     kind = dict(docs.dtypes)["doc_id"]

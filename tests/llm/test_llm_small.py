@@ -221,6 +221,21 @@ def test_one_of_each(spark, corpus, component, monkeypatch):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_finds_texts_just_alike_enough(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(80):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for at in range(20, 180, 40):  # each changes five shingles of 196: 176 of 216 are left in common
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.85 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(docs_of(spark, texts)).collect())
+    assert kept == list(range(0, 160, 2))
+
+
 @pytest.mark.parametrize(("radius", "slice_rows"), [(0, 100), (1, 5), (4, 3), (8, 16_384)])
 def test_links_join_all_that_are_near(spark, radius, slice_rows):
     rng = np.random.default_rng(radius)
