@@ -111,12 +111,18 @@ def _batch(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, pa.Array) else v for v in cols.values()], names=list(cols))
 
 
+def _same(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row is the same as the one before it; the first isn't."""
+    return np.append(False, np.logical_and.reduce([c[1:] == c[:-1] for c in columns]))
+
+
 def _parse_batches(length: int, trigger: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phrases (key: trigger, entry: hash of the bytes, d, sub, start, n windows).
 
         Of phrases that a batch has several times the first goes on; the others are
-        repeats for sure and go on as merged spans, with n = -length.
+        repeats for sure and go on as merged spans, with n = -length. The same place in
+        a row that repeats as a whole is no repeat.
         """
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
@@ -137,6 +143,8 @@ def _parse_batches(length: int, trigger: int):
                 entry, row = np.array(entries, np.uint64).view(np.int64), np.concatenate(rows)
                 order = np.lexsort((start, subs[row], ds[row], entry, key))
                 start, n, key, entry, row = (x[order] for x in (start, n, key, entry, row))
+                one_place = _same(key, entry, ds[row], subs[row], start)  # of a row that repeats as a whole
+                start, n, key, entry, row = (x[~one_place] for x in (start, n, key, entry, row))
                 again = np.append(False, (key[1:] == key[:-1]) & (entry[1:] == entry[:-1]))
                 s, e, g = merged(start[again], start[again] + n[again] + length - 1, row[again])
                 own = ~again
@@ -153,7 +161,7 @@ def _resolve(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From phrases sorted by key, entry and place: spans (key null) of all but the first of each
         entry, and the first ones themselves (with key) where a key has several entries."""
-        last_key = last_entry = None
+        last_key = last_entry = last_place = None
         waiting: dict | None = None  # the first of a key that has one entry so far
         for b in batches:
             c = {name: b.column(name).to_numpy() for name in b.schema.names}
@@ -165,7 +173,10 @@ def _resolve(length: int):
                 key, entry = c["key"], c["entry"]
                 new_key = np.append(last_key is None or key[0] != last_key, key[1:] != key[:-1])
                 new = new_key | np.append(last_entry is None or entry[0] != last_entry, entry[1:] != entry[:-1])
-                rest = ~new
+                place = (c["d"], c["sub"], c["start"])
+                one_place = _same(*place) & ~new
+                one_place[0] = not new[0] and last_place == tuple(x[0] for x in place)
+                rest = ~new & ~one_place
                 spans.append((c["d"][rest], c["sub"][rest], c["start"][rest], c["start"][rest] + c["n"][rest] + length - 1))
                 group = np.cumsum(new_key)  # 0: goes on from the last batch
                 many = np.bincount(group[new], minlength=group[-1] + 1)
@@ -179,7 +190,7 @@ def _resolve(length: int):
                 if group[-1] > 0 and many[-1] == 1:
                     i = int(np.flatnonzero(new)[-1])
                     waiting = {name: v[i : i + 1] for name, v in c.items()}
-                last_key, last_entry = key[-1], entry[-1]
+                last_key, last_entry, last_place = key[-1], entry[-1], tuple(x[-1] for x in place)
             d, sub, start, stop = (np.concatenate(x) for x in zip(*spans, strict=True))
             w = {name: np.concatenate([x[name] for x in wanted]) if wanted else np.empty(0, np.int64) for name in c}
             yield pa.RecordBatch.from_arrays(

@@ -427,6 +427,24 @@ def test_removal_of_repeated_rows(spark):
     assert suffix_dedup.digests(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("parts", "shared"), [(1, 20_000), (4, 20_000), (4, 1)])
+def test_first_row_loses_nothing_to_its_own_repeats(spark, corpus, parts, shared, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARED", shared)
+    texts = [t for t in dict.fromkeys(corpus) if t]
+    want = slow_removal({i: t.encode() for i, t in enumerate(texts)})
+    df = docs_of(spark, texts * 3, [*range(len(texts))] * 3).repartition(parts)
+    rows = suffix_dedup.removed_spans(df).collect()
+    assert len(rows) == 3 * len(texts)
+    for r in rows:
+        cover = bytearray(len(want[r["doc_id"]]))
+        for x in r["spans"]:
+            cover[x["start"] : x["stop"]] = b"\1" * (x["stop"] - x["start"])
+        assert bytes(cover) == want[r["doc_id"]], r["doc_id"]
+    assert all(r["spans"] == [] for r in rows if r["doc_id"] == 0)
+    unnamed = suffix_dedup.without_repeats(docs_of(spark, [texts[0]] * 2, [None, None]))
+    assert {r["text"] for r in unnamed.collect()} == {texts[0]}
+
+
 def test_ranks_are_those_of_sorted_suffixes():
     data = np.frombuffer(b"banana bandana banana", np.uint8)
     ranks = suffix_dedup.suffix_ranks(data, 12)
