@@ -2,8 +2,10 @@
 
 The wave module writes and reads the sound. Its short-time Fourier transform
 gives, in each frame, the strongest bin of a few bands; a peak is paired with
-the next peaks after it, and a pair (bin, later bin, distance in time) with the
-time of its first peak makes one code of the fingerprint.
+those of higher bands in its frame and with the next peaks after it in its own band,
+and a pair (bin, other bin, distance in time) with the time of its first peak makes
+one code of the fingerprint. Frames are well under a block, and half a frame of rest
+stands before and after the sound, so that its first and last samples count in full.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import io
 import wave
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,13 @@ from .common import text_or_empty
 
 BLOCK = 576
 RATE = 8000
-FRAME, HOP = 576, 288
-BANDS = ((4, 20), (20, 60), (60, 140), (140, 289))
+FRAME, HOP = 128, 64
+BANDS = ((2, 6), (6, 15), (15, 33), (33, 65))
 REACH = 2
 #: Frames that are transformed at once: bounds memory for very long texts.
 AT_ONCE = 2048
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+#: Of a whole period, so that a constant sound is in no band.
+_WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
 def payload_of(data: bytes, block: int = BLOCK) -> bytes:
@@ -54,7 +58,8 @@ def from_wav(media: bytes) -> bytes:
 
 def peaks(samples: bytes) -> np.ndarray:
     """For each frame and band the bin of the strongest amplitude, -1 if it is silent."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    rest = b"\xff" * HOP  # what payloads are filled up with
+    x = (np.frombuffer(rest + samples + rest, np.uint8).astype(np.float32) - 128) / 128
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     out = np.empty((len(frames), len(BANDS)), np.int64)
     for i in range(0, len(frames), AT_ONCE):
@@ -67,15 +72,18 @@ def peaks(samples: bytes) -> np.ndarray:
 
 
 def fingerprint(samples: bytes) -> np.ndarray:
-    """Time-coded pairs, int64: time << 24 | bin << 14 | later bin << 4 | distance in frames."""
+    """Time-coded pairs, int64: time << 24 | bin << 14 | other bin << 4 | distance in frames."""
     p = peaks(samples)
     t = np.arange(len(p), dtype=np.int64)[:, None]
     codes = []
+    for i, j in combinations(range(len(BANDS)), 2):
+        a, b = p[:, i], p[:, j]
+        codes.append(np.where((a >= 0) & (b >= 0), t[:, 0] << 24 | a << 14 | b << 4, -1))
     for d in range(1, REACH + 1):
         if len(p) > d:
             a, b = p[:-d], p[d:]
             codes.append(np.where((a >= 0) & (b >= 0), t[:-d] << 24 | a << 14 | b << 4 | d, -1).ravel())
-    found = np.concatenate(codes) if codes else np.empty(0, np.int64)
+    found = np.concatenate(codes)
     return np.sort(found[found >= 0])
 
 
@@ -85,8 +93,8 @@ def media_columns(docs: DataFrame, digests: bool = False) -> DataFrame:
     With ``digests`` the columns are what the stored bytes add up to instead:
     n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature (sha256 of the fingerprint's little-endian codes) and
-    n_codes. A null or empty text is one block of bytes 255, whose fingerprint is
-    of a constant sound. Rows stay one to one, repeated ones too; an empty table
+    n_codes. A null or empty text is one block of bytes 255: a constant sound, which
+    has no peaks and so no codes. Rows stay one to one, repeated ones too; an empty table
     stays empty; other columns of ``docs`` are not read. Rows are worked on one by one, so that
     memory is bounded by the longest text.
     """

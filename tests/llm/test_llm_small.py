@@ -160,6 +160,17 @@ def test_long_text_in_stretches(monkeypatch):
     assert (media.fingerprint(data) == whole).all() and len(whole)
 
 
+def test_short_texts_have_codes_of_their_own():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(50)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)).encode()[: media.BLOCK] for n in range(3, 83)]
+    found = [media.fingerprint(media.payload_of(t)) for t in texts]
+    assert all(map(len, found)) and len({f.tobytes() for f in found}) == len(set(texts))
+    # one character at either end of a block, and the faintest lead byte
+    assert all(len(media.fingerprint(x)) for x in (media.payload_of(b"a"), media.payload_of("\U00100000".encode()), b"\xff" * 575 + b"a"))
+    assert not len(media.fingerprint(media.payload_of(b"")))  # a constant sound has no peaks
+
+
 # fingerprints
 
 
