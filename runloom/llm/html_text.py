@@ -4,7 +4,8 @@ Each page's containers are scored by the running text that they hold. A
 container is named by its generalised path, tags with classes in which digits
 are all alike, and the pages of a host vote on paths with their scores. Every
 page is then read again, and its text is taken from the path that won on its
-host, or from its own best container where the page has no such path.
+host, or from its own best container where that path holds no running text. A container is widened to those around it that add a headline or
+further parts of the text.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ _DIGITS, _WORDS, _STATE = re.compile(r"\d+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LEVELS = 8
 #: Votes are whole numbers, so that sums don't depend on their order.
 VOTES = 1000
+#: What a wider container has to add of running text unless it adds a headline.
+PART = 0.1
 
 
 def _generalised(tag: str, classes: list[str]) -> str:
@@ -66,6 +69,7 @@ class Page:
         self.parents = [-1]
         self.articles = [-1]  # by container: the nearest article or main element, itself included
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
+        self.headlines: set[int] = set()  # numbers of blocks
         # open elements: tag, container, dropped, in a link, in an article
         stack = [("root", 0, False, False, False)]
         parts: list[str] = []
@@ -76,6 +80,8 @@ class Page:
             if parts:
                 text = " ".join(html.unescape("".join(parts)).split())
                 if text:
+                    if any(e[0] in ("h1", "h2") for e in stack):
+                        self.headlines.add(len(self.blocks))
                     self.blocks.append((stack[-1][1], text, min(linked, len(text))))
                 parts.clear()
             linked = 0
@@ -168,14 +174,51 @@ class Page:
         return max(found, key=lambda k: (found[k], k)) if found else None
 
     def text(self, path: str | None) -> str:
-        """The blocks in all containers of that path, or of the page's own best one."""
+        """The blocks in all containers of that path, or of the page's own best one where it holds no running text, widened."""
+        count, last = len(self.paths), len(self.blocks)
+        # by container, with all that is in it: running text, characters in links, the first block and headline
+        prose, links, first, headline = [0] * count, [0] * count, [last] * count, [last] * count
+        for k, (at, text, linked) in enumerate(self.blocks):
+            prose[at] += max(0, len(text) - 2 * linked)
+            links[at] += linked
+            first[at] = min(first[at], k)
+            if k in self.headlines:
+                headline[at] = min(headline[at], k)
+        for i in range(count - 1, 0, -1):  # a container's parent comes before it
+            up = self.parents[i]
+            prose[up] += prose[i]
+            links[up] += links[i]
+            first[up], headline[up] = min(first[up], first[i]), min(headline[up], headline[i])
+
+        def widened(node: int) -> int:
+            around, least = self.parents[node], max(0, self.articles[node])
+            while around >= least:
+                more, linked = prose[around] - prose[node], links[around] - links[node]
+                if more or linked:
+                    headed = headline[around] < first[node]
+                    # all of a page is its article only under a headline, and if that doesn't add more than there is
+                    whole = self.paths[around][-1] in ("root", "body")
+                    if more <= linked or not headed and (whole or more < PART * prose[node]) or whole and more > prose[node]:
+                        break
+                    node = around
+                around = self.parents[around]
+            return node
+
         for wanted in (path, self.best()):
             if wanted is None:
                 continue
+            tops: set[int] = set()
             inside: list[bool] = []
-            for i, p in enumerate(self.paths):  # a container's parent comes before it
-                inside.append(self.parents[i] >= 0 and inside[self.parents[i]] or "/".join(p) == wanted)
-            if any(inside):
+            for i, p in enumerate(self.paths):
+                within = self.parents[i] >= 0 and inside[self.parents[i]]
+                inside.append(within or "/".join(p) == wanted)
+                if inside[i] and not within:
+                    tops.add(i)
+            wide = {widened(i) for i in tops if prose[i]} or (set() if prose[0] else tops)
+            if wide:
+                inside = []
+                for i in range(count):
+                    inside.append(self.parents[i] >= 0 and inside[self.parents[i]] or i in wide)
                 return " ".join(text for at, text, _ in self.blocks if inside[at])
         return ""
 

@@ -96,6 +96,17 @@ def test_page_without_its_furniture():
     assert Page("<article><h1>T</h1><div><p>body text</p></div></article><p>after</p>").text(None) == "T body text"
 
 
+def test_article_in_parts_is_whole():
+    lead, body = "A lead of some words. " * 5, "The body goes on and on. " * 20
+    source = f"<body><div class=top><a href=/>Home</a> <a href=/x>More of it</a></div><div class=post><h1>Headline</h1><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></div></body>"
+    page = Page(source)
+    whole = " ".join(f"Headline {lead} {body}".split())
+    assert page.text(page.best()) == page.text(None) == whole
+    # an empty container of the host's path doesn't stand for the page
+    other = Page(f"<body><div class=story></div><div class=post><h1>Headline</h1><p>{body}</p></div></body>")
+    assert other.text("root/body/div.story") == " ".join(f"Headline {body}".split())
+
+
 def test_hosts_agree_on_a_path(spark):
     rows = [(i, f"http://h.com/{i}", PAGE.format(n=i, c="c")) for i in range(4)]
     # on this page another part is longer, yet the host's path wins
