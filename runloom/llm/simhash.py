@@ -20,6 +20,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -289,27 +290,27 @@ COMPONENT = 4_000_000
 
 
 def leaders(members: DataFrame, similarity: float, component: int = COMPONENT) -> DataFrame:
-    """Those of ``members`` (component_id, doc_id, shingles) that stay: doc_ids.
+    """Those of ``members`` (component_id, doc_id, row, shingles) that stay: their rows.
 
-    In order of doc_id, a member stays unless it is at least ``similarity`` like one
+    In order of doc_id and row, a member stays unless it is at least ``similarity`` like one
     of its component that stays. A component of few shingles is gone through in one
     task. Of a larger one the first stays and all that are like it go, in one pass of
     all tasks, until what is left is small enough.
     """
-    schema = "doc_id " + dict(members.dtypes)["doc_id"]
+    place = F.struct("doc_id", "row")
 
     def go_through(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        order = pc.sort_indices(table.select(["doc_id", "row"]), sort_keys=[("doc_id", "ascending"), ("row", "ascending")])
         sets = [x.as_py() for x in table.column("shingles")]
         stay: list[int] = []
         holders: dict[int | None, list[int]] = {}  # by shingle, who of those that stay has it; None: sets that are empty
-        for i in order.tolist():
+        for i in order.to_pylist():
             shared = Counter(j for h in sets[i] or (None,) for j in holders.get(h, ()))
             if not any(n >= similarity * (len(sets[i]) + len(sets[j]) - n) for j, n in shared.items()):
                 stay.append(i)
                 for h in sets[i] or (None,):
                     holders.setdefault(h, []).append(i)
-        return pa.table({"doc_id": table.column("doc_id").take(pa.array(stay, pa.int64()))})
+        return pa.table({"row": table.column("row").take(pa.array(stay, pa.int64()))})
 
     kept = None
     left, path = written(members, "members")
@@ -318,33 +319,40 @@ def leaders(members: DataFrame, similarity: float, component: int = COMPONENT) -
         large, large_path = written(size.where(F.col("_size") > component).select("component_id"), "large")
         some = large.limit(1).count() > 0
         small = left.join(large, "component_id", "left_anti") if some else left
-        done = small.groupBy("component_id").applyInArrow(go_through, schema)
+        done = small.groupBy("component_id").applyInArrow(go_through, "row long")
         kept = done if kept is None else kept.unionByName(done)
         if not some:
             return kept
         rest = left.join(large, "component_id")
-        first = rest.groupBy("component_id").agg(F.min_by("shingles", "doc_id").alias("_first"), F.min("doc_id").alias("_id"))
+        first = rest.groupBy("component_id").agg(F.min_by("shingles", place).alias("_first"), F.min_by("row", place).alias("_id"))
         first, _ = written(first, "first")
-        kept = kept.unionByName(first.select(F.col("_id").alias("doc_id")))
+        kept = kept.unionByName(first.select(F.col("_id").alias("row")))
         both = F.size(F.array_intersect("shingles", "_first"))
         alike = both / F.greatest(F.size("shingles") + F.size("_first") - both, F.lit(1)) >= similarity
         none = (F.size("shingles") == 0) & (F.size("_first") == 0)
         left, path = written(rest.join(first, "component_id").where(~(alike | none)).select(*members.columns), "members")
 
 
+#: Name of a column beside those of the documents.
+ROW = "_near_row"
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
     """``docs`` without those that are near-duplicates of a document of a smaller doc_id that stays.
 
     Candidates are documents that links of fingerprints or bands join; a document goes only if
     at least ``similarity`` of its and a staying one's shingles of ``shingle`` words
     are shared (those of both over those of either), so that a chance likeness of fingerprints
-    removes nothing. Columns stay as they are. Of rows that share a doc_id one stays
-    at most; rows without doc_id are no candidates and all stay. An empty table stays empty.
+    removes nothing. Columns stay as they are. Rows are told apart by doc_id and a hash of
+    the text: of whole repeats one stays at most, and of those that share a doc_id each is
+    judged by its own text. Rows without doc_id are compared with each other alone, in the
+    order of those hashes. A null text counts as empty. An empty table stays empty.
     """
-    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    found, _ = written(candidates(named, shingle, radius), "candidates")
+    marked = docs.withColumn(ROW, F.xxhash64(F.col("doc_id").isNull(), "doc_id", text_or_empty()))
+    found, _ = written(candidates(marked.select(F.col(ROW).alias("doc_id"), "text"), shingle, radius), "candidates")
+    found = found.withColumnRenamed("doc_id", "row")
     groups = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    suspects = found.join(groups, "component_id").select("doc_id", "component_id").distinct()
+    suspects = found.join(groups, "component_id").select("row", "component_id").distinct()
     kind = dict(docs.dtypes)["doc_id"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,16 +360,16 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 10, similarity:
             made = [shingle_set(t.as_py(), shingle) for t in b.column("text")]
             marks = [xxhash.xxh64_intdigest(m.tobytes()) for m in made]
             yield pa.RecordBatch.from_arrays(
-                [b.column("component_id"), b.column("doc_id"), pa.array(made, pa.list_(pa.int32())), pa.array(np.array(marks, np.uint64).view(np.int64))],
-                names=["component_id", "doc_id", "shingles", "mark"],
+                [*b.columns[:3], pa.array(made, pa.list_(pa.int32())), pa.array(np.array(marks, np.uint64).view(np.int64))],
+                names=["component_id", "doc_id", "row", "shingles", "mark"],
             )
 
-    texts = named.select("doc_id", text_or_empty().alias("text")).join(suspects, "doc_id").select("component_id", "doc_id", "text")
-    members = texts.mapInArrow(sets, f"component_id {kind}, doc_id {kind}, shingles array<int>, mark long")
+    texts = marked.select("doc_id", F.col(ROW).alias("row"), text_or_empty().alias("text")).join(suspects, "row")
+    texts = texts.select(F.xxhash64("component_id", F.col("doc_id").isNull()).alias("component_id"), "doc_id", "row", "text")
+    members = texts.mapInArrow(sets, f"component_id long, doc_id {kind}, row long, shingles array<int>, mark long")
     # whole copies go at once: of members with the same set the first is kept
-    members = members.groupBy("component_id", "mark").agg(F.min("doc_id").alias("doc_id"), F.min_by("shingles", "doc_id").alias("shingles"))
-    stay = leaders(members.select("component_id", "doc_id", "shingles"), similarity)
-    alone = found.join(groups, "component_id", "left_anti").select("doc_id")
-    keep = alone.unionByName(stay).select(F.col("doc_id").alias("_kept")).distinct()
-    unnamed = docs.where(F.col("doc_id").isNull())
-    return docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    members = members.groupBy("component_id", "mark").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.min_by("shingles", F.struct("doc_id", "row")).alias("shingles"))
+    stay = leaders(members.select("component_id", "at.doc_id", "at.row", "shingles"), similarity)
+    alone = found.join(groups, "component_id", "left_anti").select("row")
+    keep = alone.unionByName(stay).select(F.col("row").alias("_kept")).distinct()
+    return marked.join(keep, marked[ROW] == keep["_kept"], "left_semi").dropDuplicates([ROW]).drop(ROW)

@@ -258,6 +258,16 @@ def test_one_of_each_finds_texts_just_alike_enough(spark):
     assert kept == list(range(0, 160, 2))
 
 
+def test_one_of_each_judges_rows_by_their_own_text(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    df = docs_of(spark, [one, two, one, three, three, three + " d", three + " d", None], [1, 1, 2, None, None, None, None, 3])
+    for x in (df, df.withColumn("doc_id", F.col("doc_id").cast("string"))):
+        kept = [(None if r["doc_id"] is None else int(r["doc_id"]), r["text"]) for r in simhash.one_of_each(x).collect()]
+        named, unnamed = [k for k in kept if k[0] is not None], [k for k in kept if k[0] is None]
+        assert sorted(named, key=str) == sorted([(1, one), (1, two), (3, None)], key=str)
+        assert len(unnamed) == 1 and unnamed[0][1].startswith(three)
+
+
 @pytest.mark.parametrize(("radius", "slice_rows"), [(0, 100), (1, 5), (4, 3), (8, 16_384)])
 def test_links_join_all_that_are_near(spark, radius, slice_rows):
     rng = np.random.default_rng(radius)
