@@ -2,7 +2,7 @@
 
 Toxic documents go, one document of each group of near-duplicates stays, passages
 that stand elsewhere before are cut out, sources are mixed to target
-weights, and the mix is tokenised and packed into sequences.
+weights, and the mix is tokenised and packed into sequences: each piece with its token ids and place.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), keep_ids=True)
 
 
 STAGES = [

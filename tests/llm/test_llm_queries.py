@@ -79,3 +79,20 @@ def test_pipeline(spark):
     whole = p.run(spark, SF)
     assert whole.count() >= docs.count() > 0
     assert whole.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 4096").count() == 0
+
+
+def test_pipeline_packs_tokens(spark):
+    import zlib
+
+    import numpy as np
+
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    rows = sorted(p.packed(spark, docs, SF).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+    at = {}
+    for r in rows:
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
