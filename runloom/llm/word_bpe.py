@@ -17,8 +17,8 @@ from functools import lru_cache
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 100_000
+#: Chunks that a worker remembers before it starts anew, and characters of the longest of them: texts without spaces are long chunks.
+REMEMBERED, LONGEST = 100_000, 64
 #: ASCII signs and letters, and Latin-1 letters: composed, with one lower-case letter each.
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]*+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -62,21 +62,17 @@ class WordIds:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         memory = self.memory
         chunks = text.replace("\n", " ").split(" ")
-        for c in set(chunks).difference(memory):
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-                memory[""] = b""
-                return self._slow(chunks)
+        new = set(chunks).difference(memory)
+        long = {c: self._chunk(c) for c in new if len(c) > LONGEST}  # of this text alone
+        if len(memory) + len(new) > REMEMBERED:
+            memory.clear()
+            memory[""] = b""
+            new = set(chunks).difference(memory)
+        if len(new) > REMEMBERED:  # a text of so many different chunks is gone through without a memory
+            return b"".join(long[c] if c in long else self._chunk(c) for c in chunks)
+        for c in new.difference(long):
             memory[c] = self._chunk(c)
-        return b"".join(map(memory.__getitem__, chunks))
-
-    def _slow(self, chunks: list[str]) -> bytes:
-        own: dict[str, bytes] = {}
-        for c in set(chunks):
-            own[c] = self._chunk(c)
-        if len(own) < REMEMBERED // 2:
-            self.memory.update(own)
-        return b"".join(map(own.__getitem__, chunks))
+        return b"".join([long[c] if c in long else memory[c] for c in chunks] if long else map(memory.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)
