@@ -22,9 +22,10 @@ def word_count(text: str = "text") -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
-def draw(id_col: str, seed: int) -> Column:
-    """A number in [0, 1) from the md5 of seed and id: 52 bits, the same in any engine."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
+def draw(seed: int) -> Column:
+    """A number in [0, 1) from the md5 of seed and doc_id, or of the text's md5 where there is no id: 52 bits, the same in any engine."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.encode(text_or_empty(), "UTF-8")))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13)
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -63,36 +64,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     copies is how often the mix takes the document, at most ``most`` times.
     A null text has size 0, a null source is a source of its own, an empty table
     stays empty, a source without words gets target 0 and no copies. Repeated
-    rows of one id get the same draw, hence the same number of copies. Columns
-    of ``docs`` other than doc_id, text and source don't matter.
+    rows of one id get the same draw, hence the same number of copies; rows
+    without id draw by their text. Columns of ``docs`` other than doc_id, text and source don't matter.
     """
-    sized, _ = written(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+    sized, _ = written(docs.select("doc_id", "source", word_count().alias("size"), draw(seed).alias("draw")), "mix-sizes")
     targets = source_targets(sized, weights, share, most)
     if sized.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     return (
         sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("d.doc_id", "d.source", "size", "source_size", "target", copies_at(seed).alias("copies"))
+        .select("d.doc_id", "d.source", "size", "source_size", "target", copies_at().alias("copies"))
     )
 
 
-def copies_at(seed: int) -> Column:
-    """How often a row with source_size and target is taken: floor(rate), and once more by its draw."""
+def copies_at() -> Column:
+    """How often a row with source_size, target and draw is taken: floor(rate), and once more by its draw."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return (F.floor(rate) + (draw("doc_id", seed) < rate - F.floor(rate)).cast("long")).cast("long")
+    return (F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as mix() takes it, with its columns as they are.
 
-    Only sums per source are shuffled; texts stay where they are read.
+    Only sums per source are shuffled; texts stay where they are read. Nulls, repeats
+    and empty tables are as in mix(); columns may have any names.
     """
     sized = docs.select("source", word_count().alias("size"))
     targets, _ = written(source_targets(sized, weights, share, most), "mix-targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    targets = targets.withColumnRenamed("source", "_source").withColumnsRenamed({"source_size": "_size", "target": "_target"})
-    taken = copies_at(seed)
-    joined = docs.join(targets, docs["source"].eqNullSafe(F.col("_source")))
-    named = joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), F.col("_size").alias("source_size"), F.col("_target").alias("target"))
-    return named.select("row", F.explode(F.array_repeat(F.lit(1), taken.cast("int"))).alias("copy")).select("row.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "source", draw(seed).alias("draw"))
+    joined = rows.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("row", "draw", "source_size", "target")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), copies_at().cast("int"))).alias("copy")).select("row.*")

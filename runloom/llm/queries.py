@@ -101,7 +101,7 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from hits""
     "op10_source_mix": r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
-    ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496::double u
+    ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))), 1, 13))::bigint / 4503599627370496::double u
   from documents),
 s as (select source, sum(size)::bigint source_size from d group by source),
 p as (select *, row_number() over (order by source asc nulls last) place from s),
