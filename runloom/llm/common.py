@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Paths that work_path() gave out in this process.
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where the
-    setting is missing (tests, one machine) a temporary folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only on a local
+    master a temporary folder takes its place where the setting is missing.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="runloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def cleared(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder; returns how many tables.
+
+    For the owner of the results, once those are read or stored: results are lazy and may read these tables.
+    """
+    n = len(_made)
+    dropped(spark, *_made)
+    _made.clear()
+    return n
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

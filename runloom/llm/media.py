@@ -92,8 +92,8 @@ def media_columns(docs: DataFrame, digests: bool = False) -> DataFrame:
 
     With ``digests`` the columns are what the stored bytes add up to instead:
     n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature (sha256 of the fingerprint's little-endian codes) and
-    n_codes. A null or empty text is one block of bytes 255: a constant sound, which
+    media_sha256, feature (sha256 of the fingerprint's little-endian codes), n_codes and the
+    fingerprint itself. A null or empty text is one block of bytes 255: a constant sound, which
     has no peaks and so no codes. Rows stay one to one, repeated ones too; an empty table
     stays empty; other columns of ``docs`` are not read. Rows are worked on one by one, so that
     memory is bounded by the longest text.
@@ -101,7 +101,7 @@ def media_columns(docs: DataFrame, digests: bool = False) -> DataFrame:
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     full = f"doc_id {kind}, n_bytes long, media binary, fingerprint array<long>"
-    brief = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_codes long"
+    brief = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_codes long, fingerprint array<long>"
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,11 +114,11 @@ def media_columns(docs: DataFrame, digests: bool = False) -> DataFrame:
                     back = from_wav(media)
                     code = fingerprint(back)
                     if digests:
-                        made.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), hashlib.sha256(code.astype("<i8").tobytes()).hexdigest(), len(code)))
+                        made.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), hashlib.sha256(code.astype("<i8").tobytes()).hexdigest(), len(code), code))
                     else:
                         made.append((len(data), media, code))
                 cols = list(zip(*made, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] if digests else [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())] if digests else [pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 names = [f.split()[0] for f in (brief if digests else full).split(", ")]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i : i + 64], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 

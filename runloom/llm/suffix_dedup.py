@@ -328,6 +328,8 @@ DOC, SUB, SPANS = "_dedup_doc", "_dedup_sub", "_dedup_spans"
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with DOC and SUB, which order and name its rows: SUB is 0 unless ids repeat, and then a hash of the text."""
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be a whole number: documents are ordered by it")
     unique = docs.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count() == 0
     sub = F.lit(0).cast("long") if unique else F.xxhash64(text_or_empty())
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(DOC), sub.alias(SUB), *docs.columns)
@@ -351,7 +353,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER)
     Spans are sorted and don't touch; a text without any has an empty array. A null text
     counts as empty. Rows without doc_id come after all others; rows that share a
     doc_id are ordered by a hash of their text, and whole repeats of a row are
-    one document with one result; an empty table gives no rows; a column spans is replaced.
+    one document with one result; an empty table gives no rows; a column spans is replaced. A doc_id that isn't a whole number raises TypeError.
     """
     kept = [c for c in docs.columns if c != "spans"]
     return _with_spans(docs, length, trigger).select(*kept, F.col(SPANS).alias("spans"))

@@ -108,7 +108,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float =
     return params[:f], params[f] + np.concatenate([[0.0], np.cumsum(np.exp(params[f + 1 :]))])
 
 
-def choose_features(sample: DataFrame, most: int = FEATURES, least: int = LEAST_DOCS) -> list[str]:
+def choose_features(sample: DataFrame, most: int = FEATURES, least: int = LEAST_DOCS, least_gain: float = LEAST_GAIN) -> list[str]:
     """Those features of ``sample`` (text, grade) that tell grade 0 from the others best (G-test), by name among equals."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def choose_features(sample: DataFrame, most: int = FEATURES, least: int = LEAST_
         return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
 
     gain = part(F.col("marked"), held * (m / n)) + part(F.col("plain"), held * ((n - m) / n)) + part(m - F.col("marked"), (n - held) * (m / n)) + part((n - m) - F.col("plain"), (n - held) * ((n - m) / n))
-    best = counts.where((held >= least) & (held < n)).select("name", F.round(gain, 6).alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "name").limit(most)
+    best = counts.where((held >= least) & (held < n)).select("name", F.round(gain, 6).alias("gain")).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "name").limit(most)
     return sorted(r["name"] for r in best.collect())  # at most ``most`` names
 
 
@@ -143,18 +143,19 @@ def sampled(docs: DataFrame, labels: DataFrame, grade: str, most: int = SAMPLE)
     return written(joined, "labelled")[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", split: bool = True, most: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", split: bool = True, most: int = SAMPLE, most_features: int = FEATURES, least_docs: int = LEAST_DOCS, least_gain: float = LEAST_GAIN) -> Model:
     """Fit on documents with a label (columns doc_id and ``grade``, 0 for clean, more for worse).
 
-    With ``split``, labels that only say yes or no become three grades: of the
-    marked documents those with more than the median share of telling words
-    count as grade 2. Labels that are null or whose document is missing aren't
+    Labels of several grades are fitted as they are. Only where they say no more than yes or no, and
+    with ``split``, they become three grades: of the marked documents those with more than the median share of telling words
+    count as grade 2; a severity over 1 then says how much of such words there is, not what somebody labelled. Labels that are null or whose document is missing aren't
     used; of several labels of one document the highest counts. Without labels of both kinds no
-    document is rejected. At most ``most`` rows are sampled, which bounds what the
-    driver holds: a row's counts of the chosen features.
+    document is rejected; an empty label table is such a case. At most ``most`` rows are sampled, which bounds what the
+    driver holds: a row's counts of the chosen features. Those are at most ``most_features``, each in
+    ``least_docs`` sampled documents or more and with a G-test of ``least_gain`` or more.
     """
     sample = sampled(docs, labels, grade, most)
-    names = choose_features(sample)
+    names = choose_features(sample, most_features, least_docs, least_gain)
     if not names:
         return Model([], np.zeros(0), np.array([np.inf]))
     spec = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
@@ -203,3 +204,18 @@ def severity(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "severity", "grade", "rejected"])
 
     return rows.mapInArrow(score, schema)
+
+
+def accepted(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` (text, ...) that severity() wouldn't reject, with all their columns as they are, whatever they are called.
+
+    A null text counts as empty, repeated rows stay, an empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(shared.value.chances(t or "")[0] < reject) for t in b.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -130,6 +130,7 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", de
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _mapped:
+            _mapped.clear()  # a worker keeps the rules it saw last
             _mapped[key] = DigestArray.mapped(shared.value)
         array = _mapped[key]
         for b in batches:
