@@ -10,7 +10,11 @@ CODECS = ("uncompressed", "gzip", "lz4", "snappy", "zstd")
 
 @dataclass(frozen=True)
 class TableConfig:
-    """All sizes are in bytes. ``compaction_ratio`` is how many more runs each deeper level holds."""
+    """All sizes are in bytes. ``compaction_ratio`` is how many more runs each deeper level holds.
+
+    ``data_block_size`` is a Parquet page, ``run_partition_bytes`` a row group, ``block_cache_size`` the most that
+    a view kept by Store.cache() may hold.
+    """
 
     memtable_threshold: int = 1 << 20
     data_block_size: int = 4096

@@ -18,6 +18,12 @@ def key_bytes(key: Column) -> Column:
     )
 
 
+def fnv1a_each(key: Column, hashes: Column) -> Column:
+    """The hashes of a key for seeds 0, 1, ...: all go through its bytes together."""
+    start = F.transform(F.sequence(F.lit(0), hashes - 1), lambda seed: F.lit(BASIS).cast("long").bitwiseXOR(seed.cast("long")))
+    return F.aggregate(key_bytes(key), start, lambda hs, b: F.transform(hs, lambda h: (h.bitwiseXOR(b) * F.lit(PRIME)).bitwiseAND(F.lit(MASK).cast("long"))))
+
+
 def fnv1a(key: Column, seed: Column) -> Column:
     start = F.lit(BASIS).cast("long").bitwiseXOR(seed.cast("long"))
     return F.aggregate(key_bytes(key), start, lambda h, b: (h.bitwiseXOR(b) * F.lit(PRIME)).bitwiseAND(F.lit(MASK).cast("long")))

@@ -43,10 +43,11 @@ def merge_runs(runs: Sequence[DataFrame], keys: Sequence[str], seq: Sequence[str
 
 
 def merge_ordered(changes: DataFrame, keys: Sequence[str], ascending: Sequence[Column], tombstone: str = "tombstone") -> DataFrame:
-    """Merge by an order of the caller's: the last row of each key in that order wins, then deletes are dropped."""
-    place, last = Window.partitionBy(*keys).orderBy(*ascending), Window.partitionBy(*keys)
-    numbered = changes.withColumn("_place", F.row_number().over(place)).withColumn("_last", F.count("*").over(last))
-    return numbered.where("_place = _last").drop("_place", "_last").where(~F.col(tombstone))
+    """Merge by an order of the caller's, ``ascending`` (nulls first): the last row of each key in that order wins, then deletes are dropped.
+
+    The rank is taken from the other end, so that each task sends on one row of a key.
+    """
+    return live_view(changes, keys, [c.desc_nulls_last() for c in ascending], tombstone)
 
 
 def merge_two(old: DataFrame, new: DataFrame, keys: Sequence[str], tombstone: str = "tombstone") -> DataFrame:

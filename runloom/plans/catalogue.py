@@ -64,7 +64,7 @@ def kmerge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select k, v from (select *, row_number() over (partition by k order by v desc, event_id desc) rn from {E}) where rn = 1 and not tomb")
 def merge_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.merge_ordered(events(spark, sf_dir), ["k"], [F.col("v").asc(), F.col("event_id").asc()], "tomb").select("k", "v")
+    return resolve.merge_ordered(events(spark, sf_dir), ["k"], [F.col("v"), F.col("event_id")], "tomb").select("k", "v")
 
 
 @query(
@@ -554,7 +554,65 @@ def recover_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(store.live())
 
 
-@query(f"select 0 level, 1::bigint runs, count(*) filter (not tomb) entries, 0::bigint deletes from (select *, row_number() over (partition by k order by event_id desc) rn from {E}) where rn = 1".replace("0 level", "1 level"))
+@query(f"select key, value from {_run_order_live('event_id desc')}")
+def store_set_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the changes set and flushed, the other half set and still in the log."""
+    store, all_ = Store(spark, work_path(spark, "store"), TableConfig(memtable_threshold=1 << 40)), changes(spark, sf_dir)
+    middle = all_.agg(F.max("seq").alias("n")).first()["n"] // 2
+    store.set(all_.where(F.col("seq") <= middle))
+    store.flush()
+    store.set(all_.where(F.col("seq") > middle))
+    return _told(store.live())
+
+
+@query(f"select key, value from {_run_order_live('event_id desc')}")
+def recover_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was set and never flushed, by a process that is gone, read from the log of the reopened table."""
+    lost, all_ = Store(spark, work_path(spark, "store"), TableConfig(memtable_threshold=1 << 40)), changes(spark, sf_dir)
+    top = all_.agg(F.max("seq").alias("n")).first()["n"] + 1
+    for i in range(3):
+        lost.set(all_.where((F.col("seq") >= top * i // 3) & (F.col("seq") < top * (i + 1) // 3)))
+    return _told(Store.open(spark, lost.path).live())
+
+
+@query(f"select key, value from {_run_order_live('event_id desc')}")
+def retry_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that is tried again after its run was merged and the table reopened changes nothing."""
+    store, all_ = Store(spark, work_path(spark, "store")), changes(spark, sf_dir)
+    middle = all_.agg(F.max("seq").alias("n")).first()["n"] // 2
+    halves = [all_.where(F.col("seq") <= middle), all_.where(F.col("seq") > middle)]
+    for i, half in enumerate(halves):
+        store.add_run(half, source="stream", number=i)
+    store.compact()
+    again = Store.open(spark, store.path)
+    again.add_run(halves[0], source="stream", number=0)
+    return _told(again.live())
+
+
+@query("select ('u' || lpad(k::varchar, 6, '0')) as key, max(event_id)::varchar as value from (select event_id, event_id % 1000 k from events) group by k")
+def compaction_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges that go on to level 2: with two runs at level 0 and two at level 1 each is due."""
+    store = Store(spark, work_path(spark, "store"), TableConfig(level0_trigger=2, compaction_ratio=2.0, max_levels=4))
+    e = table(spark, sf_dir, "events")
+    rows = e.select(padded("u", F.col("event_id") % 1000, 6).alias("key"), F.encode(F.col("event_id").cast("string"), "UTF-8").alias("value"), F.col("event_id").alias("seq"))
+    top = e.agg(F.max("event_id").alias("n")).first()["n"] + 1
+    for i in range(4):
+        # two ranges of keys by turns, so that level 1 gets two runs that don't overlap before the merge into level 2
+        store.add_run(rows.where((F.col("seq") >= top * i // 4) & (F.col("seq") < top * (i + 1) // 4)))
+        if i % 2:
+            store.compact()
+    store.compact(1)
+    assert max(r.level for r in store.runs) == 2
+    return _told(Store.open(spark, store.path).live())
+
+
+@query(f"select k as key, l.event_id::varchar as value from (select *, row_number() over (partition by k order by event_id desc) rn from {E}) l where rn = 1 and not tomb and starts_with(k, 'user:00001')")
+def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live entries whose key starts with a prefix."""
+    return _told(_loaded(spark, sf_dir).starting("user:00001"))
+
+
+@query(f"select 1 as level, 1::bigint runs, count(*) filter (not tomb) entries, 0::bigint deletes from (select *, row_number() over (partition by k order by event_id desc) rn from {E}) where rn = 1")
 def manifest_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run without deletes at level 1: nothing older could hold the deleted keys."""
     store = _loaded(spark, sf_dir)
@@ -571,7 +629,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i in range(3):
         source.where((F.col("seq") >= top * i // 3) & (F.col("seq") < top * (i + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{path}/in")
     store = Store(spark, f"{path}/table")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
     upsert_stream(stream, store, f"{path}/checkpoint").awaitTermination()
     return _told(store.live())
 

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import entry_size
+
 #: A length over this makes a record invalid.
 LONGEST = 1 << 30
 
@@ -43,44 +46,85 @@ def records(data: bytes) -> Iterator[tuple[str, bytes, bool, int]]:
         at = end
 
 
-def encode_log(changes: DataFrame, files: int = 1) -> DataFrame:
-    """Rows of file and content: ``changes`` as logs, dealt by key, each in order of seq."""
+#: Bytes from which a segment of a log is closed: what a row of a log table holds, and what is replayed at once.
+SEGMENT = 1 << 20
+SEGMENT_ROW = "file long, start long, content binary, seqs array<long>, bytes long"
+
+
+def _segments(limit: int):
+    """Rows of file, key, value, tombstone, ts, seq and size, those of a file together, as segments of its log."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, parts = None, []
+        file, start, parts, seqs, held, size = None, 0, [], [], 0, 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([file], pa.int64()), pa.array([start], pa.int64()), pa.array([b"".join(parts)], pa.binary()), pa.array([seqs], pa.list_(pa.int64())), pa.array([size], pa.int64())],
+                names=["file", "start", "content", "seqs", "bytes"],
+            )
+
         for b in batches:
-            for row in b.to_pylist():
-                if row["file"] != file and parts:
-                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([b"".join(parts)], pa.binary())], names=["file", "content"])
-                    parts = []
-                file = row["file"]
-                parts.append(encoded(row["key"], row["value"], row["tombstone"], row["ts"]))
+            for of, key, value, dead, ts, seq, own in zip(*(b.column(c).to_pylist() for c in ("file", "key", "value", "tombstone", "ts", "seq", "size")), strict=True):
+                if parts and (of != file or held >= limit):
+                    yield told()
+                    start, parts, seqs, held, size = start + len(parts), [], [], 0, 0
+                if of != file:
+                    file, start = of, 0
+                parts.append(encoded(key, value, dead, ts))
+                seqs.append(seq)
+                held, size = held + len(parts[-1]), size + own
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([b"".join(parts)], pa.binary())], names=["file", "content"])
+            yield told()
 
-    dealt = changes.select(F.pmod(F.xxhash64("key"), F.lit(files)).alias("file"), "key", "value", "tombstone", "ts", "seq")
-    return dealt.repartition("file").sortWithinPartitions("file", "seq").mapInArrow(run, "file long, content binary")
+    return run
 
 
-def replay(logs: DataFrame) -> DataFrame:
-    """file, place, key, value, tombstone, ts: each file's valid prefix. ``logs`` has file and content."""
+def encode_log(changes: DataFrame, files: int | None = None, limit: int = SEGMENT) -> DataFrame:
+    """``changes`` as logs: rows of file, start (records before), content (binary records), seqs (theirs) and bytes (their size in memory).
+
+    With ``files``, changes are dealt to so many by key, each in order of seq. Without, each task writes
+    one from its rows as they come: nothing is shuffled, and seqs tell the order.
+    """
+    size = entry_size(F.col("key"), F.octet_length("value")).alias("size")
+    file = F.spark_partition_id().cast("long") if files is None else F.pmod(F.xxhash64("key"), F.lit(files))
+    rows = changes.select(file.alias("file"), "key", "value", "tombstone", "ts", "seq", size)
+    if files is not None:
+        rows = rows.repartition("file").sortWithinPartitions("file", "seq")
+    return rows.mapInArrow(_segments(limit), SEGMENT_ROW)
+
+
+def replay(logs: DataFrame, at_once: int = 4096) -> DataFrame:
+    """file, place, key, value, tombstone, ts and seq: the valid prefix of each segment, ``at_once`` records at a time.
+
+    ``logs`` has file and content, and maybe start (0 if not) and seqs (else seq is the place).
+    """
+    columns = [c for c in ("file", "start", "content", "seqs") if c in logs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, content in zip(b.column("file"), b.column("content"), strict=True):
-                rows = list(records(content.as_py() or b""))
-                if rows:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in columns}
+                place, found = row.get("start") or 0, records(row["content"] or b"")
+                seqs = iter(row["seqs"]) if row.get("seqs") is not None else count(place)
+                while rows := list(islice(found, at_once)):
                     keys, values, dead, ts = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([file.as_py()] * len(rows), b.schema.field("file").type), pa.array(range(len(rows)), pa.int64()), pa.array(keys, pa.string()), pa.array(values, pa.binary()), pa.array(dead, pa.bool_()), pa.array(ts, pa.int64())],
-                        names=["file", "place", "key", "value", "tombstone", "ts"],
-                    )
+                        [
+                            pa.array([row["file"]] * len(rows), b.schema.field("file").type), pa.array(range(place, place + len(rows)), pa.int64()), pa.array(keys, pa.string()), pa.array(values, pa.binary()),
+                            pa.array(dead, pa.bool_()), pa.array(ts, pa.int64()), pa.array(list(islice(seqs, len(rows))), pa.int64()),
+                        ],
+                        names=["file", "place", "key", "value", "tombstone", "ts", "seq"],
+                    )
+                    place += len(rows)
 
-    return logs.mapInArrow(run, f"file {dict(logs.dtypes)['file']}, place long, key string, value binary, tombstone boolean, ts long")
+    return logs.select(*columns).mapInArrow(run, f"file {dict(logs.dtypes)['file']}, place long, key string, value binary, tombstone boolean, ts long, seq long")
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log files under a path that Spark can read, as file (its path) and content."""
+    """Foreign log files under a path that Spark can read, as file (its path) and content: each at most 2 GiB, what Spark reads as one value.
+
+    A table's own log (Store.set) is in segments of SEGMENT bytes and has no such limit.
+    """
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
 

@@ -8,15 +8,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.store import Store
 
 
-def upsert_stream(changes: DataFrame, store: Store, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def upsert_stream(changes: DataFrame, store: Store, checkpoint: str, available_now: bool = True, source: str = "stream") -> StreamingQuery:
     """Write a stream of key, value, tombstone, ts and seq.
 
-    A batch's run is named by its number: a batch that is tried again after a crash
-    finds its run listed, or writes over one that isn't, so that nothing is applied twice.
+    The table's manifest keeps the number of the last batch of each ``source``: a batch that is tried again after a crash
+    is known by it, also if its run was merged since, so that nothing is applied twice. Streams into one table need
+    sources of different names, each with a checkpoint of its own.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        store.add_run(batch, f"batch{number:012d}")
+        store.add_run(batch, source=source, number=number)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -4,11 +4,13 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from runloom.config import TableConfig
 from runloom.operators import bloom
 from runloom.sources import wal
 from runloom.sources.store import Store
+from runloom.workspace import Files
 
 ROW = "key string, value binary, seq long"
 
@@ -123,6 +125,105 @@ def test_same_batch_twice_is_applied_once(store):
     assert store.add_run(rows, "batch1") is None and len(store.runs) == 1
 
 
+def test_what_is_set_survives_its_process(store, spark):
+    put(store, [("a", b"1"), ("b", b"1")])
+    store.flush()
+    put(store, [("a", b"2"), ("a", b"3")])
+    drop(store, "b")
+    again = Store.open(spark, store.path)  # no flush, no close
+    assert held(again) == {"a": b"3"} and len(again.buffer) == 2 and again.buffer_bytes > 0
+    again.flush()
+    assert store.files.names(f"{store.path}/log") == [] and held(Store.open(spark, store.path)) == {"a": b"3"}
+
+
+def test_a_batch_that_was_never_acknowledged_is_not_replayed(store, spark):
+    put(store, [("a", b"1")])
+    put(store, [("a", b"2")])
+    store.files.delete(f"{store._log_path(1)}/_SUCCESS")
+    again = Store.open(spark, store.path)
+    assert held(again) == {"a": b"1"}
+    put(again, [("a", b"4")])
+    assert held(Store.open(spark, store.path)) == {"a": b"4"}
+
+
+def test_a_cut_segment_gives_its_valid_prefix(spark):
+    rows = spark.createDataFrame([(f"k{i}", b"v", False, 0, 10 + i) for i in range(20)], "key string, value binary, tombstone boolean, ts long, seq long").coalesce(1)
+    log = wal.encode_log(rows, limit=100)
+    assert log.count() > 2
+    back = wal.replay(log, at_once=3).orderBy("place").collect()
+    assert [(r["key"], r["seq"], r["place"]) for r in back] == [(f"k{i}", 10 + i, i) for i in range(20)]
+    cut = log.withColumn("content", F.expr("substring(content, 1, length(content) - 1)"))
+    assert wal.replay(cut).count() == 20 - log.count()
+
+
+def test_retry_after_merge_and_reopen(store, spark):
+    rows = lambda v: spark.createDataFrame([("a", v, 0)], ROW)
+    store.add_run(rows(b"old"), source="s", number=0)
+    store.add_run(rows(b"name"), "named")
+    store.add_run(rows(b"new"), source="s", number=1)
+    store.compact()
+    again = Store.open(spark, store.path)
+    for how in ({"source": "s", "number": 0}, {"source": "s", "number": 1}, {"run_id": "named"}):
+        assert again.add_run(rows(b"old"), **how) is None
+    assert held(again) == {"a": b"new"}
+    assert again.add_run(rows(b"other"), source="t", number=0) is not None and held(again) == {"a": b"other"}
+
+
+def test_lookups_read_the_runs_that_may_hold_a_key(store, spark):
+    for part in ("az", "by", "cx"):
+        put(store, [(f"{part[0]}-key-{i:04d}", b"1") for i in range(50)] + [(f"{part[1]}-key-{i:04d}", b"2") for i in range(50)])
+        store.flush()
+    probes = spark.createDataFrame([("b-key-0007",), ("y-key-0003",), (None,), ("",)], "key string")
+    assert [r.run_seq for r in store.runs_for(probes)] == [1]  # the first run's range holds them too
+    found = {r["key"]: (r["found"], r["value"] and bytes(r["value"])) for r in store.multi_get(probes).collect()}
+    assert found == {"b-key-0007": (True, b"1"), "y-key-0003": (True, b"2"), None: (False, None), "": (False, None)}
+    assert store.runs_for(spark.createDataFrame([("m",)], "key string")) == []
+    plan = store.live("b-key-0007", "b-key-0007")._jdf.queryExecution().toString()
+    assert "EqualTo(key,b-key-0007)" in plan and "GreaterThanOrEqual(key" not in plan
+    assert {r["key"] for r in store.starting("b-key-001").collect()} == {f"b-key-001{i}" for i in range(10)}
+
+
+def test_stored_filters_have_no_false_negatives(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "CHUNK_KEYS", 100)
+    keys = spark.createDataFrame([(f"é{i}",) for i in range(1000)], "key string")
+    made, chunks, bits, hashes = bloom.stored_filter(keys, 1000, 0.01)
+    zones = spark.createDataFrame([("r", "", "￿", chunks, bits, hashes)], "run_id string, min_key string, max_key string, chunks long, bits long, hashes long")
+    made = made.withColumn("run_id", F.lit("r"))
+    assert chunks == 10 and bloom.runs_that_may_hold(keys, zones, made).count() == 1000
+    absent = spark.createDataFrame([(f"x{i}",) for i in range(2000)], "key string")
+    assert bloom.runs_that_may_hold(absent, zones, made).count() < 100
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    files, path = Files(spark), str(tmp_path / "m" / "v1.json")
+    files.create(str(tmp_path / "m" / "v0.json"), "0")
+
+    def write(i):
+        try:
+            files.create(path, str(i))
+            return i
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i in pool.map(write, range(16)) if i is not None]
+    assert len(won) == 1 and files.read(path) == str(won[0]) and files.names(str(tmp_path / "m")) == ["v0.json", "v1.json"]
+
+
+def test_cache_counts(store):
+    put(store, [("a", b"1")])
+    assert store.cache().count() == 1 and store.cache().count() == 1
+    assert store.cache_stats() == {"hits": 1, "misses": 1, "hit_ratio": 0.5, "entries": 1, "bytes": store.buffer_bytes, "capacity": 64 << 20}
+    put(store, [("b", b"1")])
+    assert store.cache().count() == 2 and store.cache_stats()["misses"] == 2
+    store.clear_cache()
+    small = store.with_config(block_cache_size=1)
+    small.cache()
+    assert small.cache_stats()["entries"] == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_history(store, seed):
     rng, model = random.Random(seed), {}
