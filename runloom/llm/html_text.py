@@ -4,7 +4,7 @@ Each page's containers are scored by the running text that they hold. A
 container is named by its generalised path, tags with classes in which digits
 are all alike, and the pages of a host vote on paths with their scores. Every
 page is then read again, and its text is taken from the path that won on its
-host, or from its own best container where that path holds no running text. A container is widened to those around it that add a headline or
+host, or from its own best container where that path holds no running text or the page has no host. A container is widened to those around it that add a headline or
 further parts of the text.
 """
 
@@ -16,6 +16,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,14 @@ BOILERPLATE = frozenset(
     " social share sharing related recommended comment comments commentlist reply replies respond responses reactions disqus discussion".split()
 )
 
+#: Words that stand beside those in names of the parts of a page. Inside an article an element goes only if a class
+#: or id is made of both kinds alone: related-links goes, related-work stays.
+PARTS = frozenset(
+    "area articles aside bar block blocks body bottom box btn button buttons center column container content count div footer form head header icon icons inline"
+    " inner input item items label left link links list main module new news outer page panel post posts right row section site slot slots small stories text thread"
+    " title toggle top unit user users view wrap wrapper".split()
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg|xmp|noframes)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -49,8 +58,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _DIGITS, _WORDS, _STATE = re.compile(r"\d+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), re.compile(r"^(?:has|no|with|without|is|not)[-_]")
-#: A path names so many of a container's innermost levels.
-LEVELS = 8
+#: A path spells so many of a container's innermost levels; a digest of all its levels stands for the rest.
+SPELT = 8
 #: Votes are whole numbers, so that sums don't depend on their order.
 VOTES = 1000
 #: What a wider container has to add of running text unless it adds a headline.
@@ -61,17 +70,35 @@ def _generalised(tag: str, classes: list[str]) -> str:
     return ".".join([tag, *sorted({_DIGITS.sub("#", c) for c in classes})])
 
 
+def _named(names: str, article: bool) -> tuple[bool, bool]:
+    """Whether a class or id attribute marks what isn't the article, and whether it says header."""
+    marked = header = False
+    for name in names.split():
+        if _STATE.match(name.lower()):
+            continue
+        words = {w.lower() for w in _WORDS.findall(name)}
+        header = header or "header" in words
+        marked = marked or bool(words & BOILERPLATE) and (not article or words <= BOILERPLATE | PARTS)
+    return marked, header
+
+
+#: Why an element is dropped: it isn't, by a class or id alone, for sure.
+KEPT, NAMED, SURE = 0, 1, 2
+
+
 class Page:
     """Blocks of text in page order, each with the container that holds it."""
 
     def __init__(self, source: str):
-        self.paths: list[tuple[str, ...]] = [("root",)]  # by container
+        self.paths: list[str] = ["root"]  # by container
+        digests, levels = [0], [("root",)]
+        self.tags = ["root"]
         self.parents = [-1]
         self.articles = [-1]  # by container: the nearest article or main element, itself included
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self.headlines: set[int] = set()  # numbers of blocks
         # open elements: tag, container, dropped, in a link, in an article
-        stack = [("root", 0, False, False, False)]
+        stack = [("root", 0, KEPT, False, False)]
         parts: list[str] = []
         linked = 0
 
@@ -129,7 +156,10 @@ class Page:
             _, at, dropped, link, article = stack[-1]
             attrs = m["attrs"]
             classes: list[str] = []
-            words: set[str] = set()
+            article = article or tag in ("article", "main")
+            if tag in ("article", "main") and dropped == NAMED:
+                dropped = KEPT  # what is around an article isn't furniture, whatever its name
+            marked = header = False
             if attrs and "=" in attrs or "hidden" in attrs:
                 for a in _ATTR.finditer(attrs):
                     name, written_ = a[1].lower(), a[2] or a[3] or a[4] or ""
@@ -137,16 +167,22 @@ class Page:
                     if name == "class":
                         classes = value.split()
                     if name in ("class", "id"):
-                        words.update(w.lower() for c in written_.split() if not _STATE.match(c.lower()) for w in _WORDS.findall(c))
+                        by_name, as_header = _named(written_, article)
+                        marked, header = marked or by_name, header or as_header
                     elif name == "role":
-                        dropped = dropped or value.strip() in ROLES
+                        dropped = SURE if value.strip() in ROLES else dropped
                     elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                        dropped = True
-            article = article or tag in ("article", "main")
-            if tag in DROPPED or tag == "header" and not article or tag not in ("html", "body", "main") and (words & BOILERPLATE or "header" in words and not article):
-                dropped = True
+                        dropped = SURE
+            if tag in DROPPED or tag == "header" and not article:
+                dropped = SURE
+            elif tag not in ("html", "body", "main", "article") and (marked or header and not article):
+                dropped = dropped or NAMED
             if tag in CONTAINERS:
-                self.paths.append((*self.paths[at], _generalised(tag, [] if tag == "body" else classes))[-LEVELS:])  # a body's classes tell pages apart, not parts
+                own = _generalised(tag, [] if tag == "body" else classes)  # a body's classes tell pages apart, not parts
+                digests.append(xxhash.xxh64_intdigest(own, digests[at]))
+                levels.append((*levels[at], own)[-SPELT:])
+                self.paths.append("/".join(levels[-1]) + f"#{digests[-1]:016x}")
+                self.tags.append(tag)
                 self.parents.append(at)
                 self.articles.append(len(self.paths) - 1 if tag in ("article", "main") else self.articles[at])
                 at = len(self.paths) - 1
@@ -166,7 +202,7 @@ class Page:
                 if self.articles[at] >= 0:
                     shares[self.articles[at]] = 1.25
                 for node, share in shares.items():
-                    found["/".join(self.paths[node])] += worth * share
+                    found[self.paths[node]] += worth * share
         return found
 
     def best(self) -> str | None:
@@ -197,7 +233,7 @@ class Page:
                 if more or linked:
                     headed = headline[around] < first[node]
                     # all of a page is its article only under a headline, and if that doesn't add more than there is
-                    whole = self.paths[around][-1] in ("root", "body")
+                    whole = self.tags[around] in ("root", "body")
                     if more <= linked or not headed and (whole or more < PART * prose[node]) or whole and more > prose[node]:
                         break
                     node = around
@@ -211,7 +247,7 @@ class Page:
             inside: list[bool] = []
             for i, p in enumerate(self.paths):
                 within = self.parents[i] >= 0 and inside[self.parents[i]]
-                inside.append(within or "/".join(p) == wanted)
+                inside.append(within or p == wanted)
                 if inside[i] and not within:
                     tops.add(i)
             wide = {widened(i) for i in tops if prose[i]} or (set() if prose[0] else tops)
@@ -236,25 +272,34 @@ def votes(pages: DataFrame) -> DataFrame:
                     total[host, path] += round(VOTES * x / whole)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(total.values(), pa.int64())], names=["host", "path", "votes"])
 
-    counted = pages.select("host", "html").mapInArrow(score, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    counted = pages.where("host <> ''").select("host", "html").mapInArrow(score, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return counted.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
 
-def main_text(pages: DataFrame, broadcast_hosts: int = 50_000) -> DataFrame:
+#: Bytes of hosts and paths up to which they are broadcast, and parts that a host's pages are dealt in beyond that.
+BROADCAST_BYTES, SALTS = 8 << 20, 32
+
+
+def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars and the path of each row of ``pages`` (page_id, url, html).
 
     A null html counts as empty and gives an empty text; so does a page with
-    nothing but menus and the like. A null url, or one without a host, votes
-    with all others of that kind. Rows stay one to one, repeated ones too; an
+    nothing but menus and the like. A page with a null url, or one without a host, goes by
+    its own best container. Rows stay one to one, repeated ones too; an
     empty table stays empty; other columns aren't read. Up to
-    ``broadcast_hosts`` hosts the winning paths are broadcast, beyond that they
-    are joined by a shuffle. Each page is worked on alone, so that memory is
+    ``broadcast_bytes`` the hosts and their winning paths are broadcast, beyond that they
+    are joined by a shuffle that deals a host's pages in parts. Each page is worked on alone, so that memory is
     bounded by the longest page and the paths of one batch.
     """
     rows = pages.select("page_id", "url", host_of("url").alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     won, _ = written(votes(rows), "host-paths")
-    few = won.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    joined = rows.join(F.broadcast(won) if few else won, "host", "left").select("page_id", "url", "html", "path")
+    size = won.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 16).alias("n")).first()["n"] or 0
+    if size <= broadcast_bytes:
+        joined = rows.join(F.broadcast(won), "host", "left")
+    else:
+        salted = won.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "path")
     kind = dict(pages.dtypes)["page_id"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
