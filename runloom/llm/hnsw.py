@@ -1,8 +1,9 @@
 """Nearest neighbours by a navigable small-world graph per shard.
 
 Vectors are dealt to shards by a hash of their id. A shard's graph has layers;
-each layer is one flat array of neighbour lists of fixed width. Graphs are kept
-as a table, one row each. Searches start at the top layer, step to the nearest
+each layer is one flat array of neighbour lists of fixed width, and a vector gets its
+lists by walking over those that are there before it, so that building a shard takes little more than
+its size times a logarithm. Graphs are kept as a table, one row each. Searches start at the top layer, step to the nearest
 neighbour until none is nearer, and on the ground layer keep a list of the best
 vectors seen; they run for all queries of a block at once. The lists that the
 shards return are merged, and scores are inner products in double precision.
@@ -23,12 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SHARD_ROWS = 8192
+#: Vectors of a shard on average. Every query walks over every shard's graph, hence few large ones: at 256 numbers each
+#: some 80 MB with the lists.
+SHARD_ROWS = 65_536
 NEIGHBOURS = 24  # a vector's own choices on a layer; the ground layer also has as many given back
 WIDTH = 100  # candidates that a search keeps on the ground layer
 BLOCK = 512  # queries that are searched together
 BLOCKS_EACH = 8
 ENTRIES = 8
+#: Rows of a layer that are compared with each other, rows that come in together later, and what their walks keep.
+FIRST, BATCH, BUILD = 1024, 512, 64
 
 
 def usable(name: str) -> Column:
@@ -50,45 +55,123 @@ def _levels(ids: np.ndarray) -> np.ndarray:
     return level
 
 
-def _layer(x: np.ndarray, width: int) -> np.ndarray:
-    """Neighbour lists of a layer, -1 where there are fewer.
+def _chosen(x: np.ndarray, top: np.ndarray, near: np.ndarray, width: int) -> np.ndarray:
+    """Of each row's candidates ``top`` (best first, ``near`` their products with it) ``width`` at most, -1 where there are fewer.
 
-    A vector's candidates are its nearest; one is taken if no nearer one that was
-    taken is closer to it than the vector itself, the rest fill what is left. Then
-    each choice is given back: whom few chose stays reachable.
+    One is taken if no nearer one that was taken is closer to it than the row itself; the rest fill what is left.
     """
-    n = len(x)
-    look = min(n - 1, 3 * width)
-    out = np.full((n, 2 * width), -1, np.int32)
-    if look <= 0:
-        return out
-    chosen = np.full((n, width), -1, np.int32)
-    for a in range(0, n, 256):
-        s = x[a : a + 256] @ x.T
-        rows = np.arange(len(s))
-        s[rows, rows + a] = -np.inf
-        top = np.argpartition(-s, look - 1, axis=1)[:, :look]
-        order = np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable")
-        top = np.take_along_axis(top, order, 1)
-        near = np.take_along_axis(s, top, 1)
-        between = np.einsum("ijd,ikd->ijk", x[top], x[top], optimize=True)
-        taken = np.zeros(top.shape, bool)
-        for j in range(look):
-            taken[:, j] = ~((between[:, j, :j] > near[:, j, None]) & taken[:, :j]).any(1) & (taken.sum(1) < width)
-        order = np.argsort(~taken, axis=1, kind="stable")[:, :width]
-        chosen[a : a + 256, : order.shape[1]] = np.take_along_axis(top, order, 1)
-    out[:, :width] = chosen
-    src = np.repeat(np.arange(n), width)
-    dst = chosen.ravel()
-    src, dst = src[dst >= 0], dst[dst >= 0]
-    order = np.argsort(dst, kind="stable")
-    src, dst = src[order], dst[order]
-    at = np.arange(len(dst)) - np.searchsorted(dst, dst)
+    there = np.isfinite(near)
+    between = np.einsum("ijd,ikd->ijk", x[top], x[top], optimize=True)
+    taken = np.zeros(top.shape, bool)
+    for j in range(top.shape[1]):
+        taken[:, j] = there[:, j] & ~((between[:, j, :j] > near[:, j, None]) & taken[:, :j]).any(1) & (taken.sum(1) < width)
+    order = np.argsort(np.where(there, ~taken, 2), axis=1, kind="stable")[:, :width]
+    found = np.where(np.take_along_axis(there, order, 1), np.take_along_axis(top, order, 1), -1)
+    return np.pad(found, ((0, 0), (0, width - found.shape[1])), constant_values=-1).astype(np.int32)
+
+
+def _give_back(x: np.ndarray, graph: np.ndarray, src: np.ndarray, chosen: np.ndarray, width: int) -> None:
+    """Put the rows ``src`` into the back lists of those they chose: a list keeps its nearest."""
+    a, b = np.repeat(src, chosen.shape[1]), chosen.ravel().astype(np.int64)
+    a, b = a[b >= 0], b[b >= 0]
+    order = np.lexsort((-np.einsum("ij,ij->i", x[a], x[b]), b))
+    a, b = a[order], b[order]
+    to, first = np.unique(b, return_index=True)
+    at = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b))))
+    new = np.full((len(to), width), -1, np.int32)
     keep = at < width
-    out[dst[keep], width + at[keep]] = src[keep]
+    new[np.searchsorted(to, b[keep]), at[keep]] = a[keep]
+    for i in range(0, len(to), 512):
+        t = to[i : i + 512]
+        both = np.concatenate([graph[t, width:], new[i : i + 512]], 1)
+        s = np.where(both >= 0, np.einsum("ijd,id->ij", x[both], x[t]), -np.inf)
+        graph[t, width:] = np.take_along_axis(both, np.argsort(-s, axis=1, kind="stable")[:, :width], 1)
+
+
+def _products(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of each query with its ``rows``; -inf where a row is -1. So many at once that the copies stay within some 64 MB."""
+    out = np.empty(rows.shape, np.float32)
+    step = max(1, (1 << 24) // (rows.shape[1] * x.shape[1] + 1))
+    for i in range(0, len(rows), step):
+        out[i : i + step] = np.einsum("ijd,id->ij", x[rows[i : i + step]], q[i : i + step])
+    out[rows < 0] = -np.inf
     return out
 
 
+def _beam(x: np.ndarray, q: np.ndarray, graph: np.ndarray, entry: np.ndarray, width: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the ``width`` best rows that a walk over ``graph`` from its ``entry`` rows sees, best first, and their products; -1 where there are fewer.
+
+    Each step looks at the neighbours of the ``at_once`` best that it hasn't looked at, until all of the best are; what is kept is
+    bounded by the number of queries and the width, not by the graph.
+    """
+    m = len(q)
+    pool, score, open_ = np.full((m, width), -1, np.int64), np.full((m, width), -np.inf, np.float32), np.zeros((m, width), bool)
+
+    def add(who: np.ndarray, new: np.ndarray) -> None:
+        new = np.sort(new, 1)
+        new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
+        s = _products(x, new, q[who])
+        s[s < score[who, -1:]] = -np.inf
+        r, c = np.nonzero(np.isfinite(s))  # who may come in: not those that are in
+        for i in range(0, len(r), 1 << 16):
+            y, w = r[i : i + (1 << 16)], c[i : i + (1 << 16)]
+            inside = (pool[who[y]] == new[y, w][:, None]).any(1)
+            s[y[inside], w[inside]] = -np.inf
+        ids, sc, op = (np.concatenate(v, 1) for v in ((pool[who], new), (score[who], s), (open_[who], np.isfinite(s))))
+        top = np.argsort(-sc, axis=1, kind="stable")[:, :width]
+        sc = np.take_along_axis(sc, top, 1)
+        pool[who], score[who], open_[who] = np.where(np.isfinite(sc), np.take_along_axis(ids, top, 1), -1), sc, np.take_along_axis(op, top, 1)
+
+    add(np.arange(m), entry.copy())
+    alive = np.arange(m)
+    while True:
+        alive = alive[open_[alive].any(1)]
+        if not len(alive):
+            return pool, score
+        pick = np.argsort(~open_[alive], axis=1, kind="stable")[:, :at_once]
+        valid = np.take_along_axis(open_[alive], pick, 1)
+        chosen = np.where(valid, np.take_along_axis(pool[alive], pick, 1), 0)
+        open_[alive[:, None], pick] = False
+        add(alive, np.where(valid[:, :, None], graph[chosen], -1).reshape(len(alive), -1).astype(np.int64))
+
+
+def _entries(x: np.ndarray, q: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
+    """Where a walk over the next layer starts: what the ``layers``, top first, lead to, and some rows of the highest for parts that one way in doesn't reach."""
+    at = np.zeros(len(q), np.int64)
+    for graph in layers:
+        at = _step(x, q, graph, at)
+    return np.concatenate([at[:, None], np.broadcast_to(np.arange(min(ENTRIES, len(x))), (len(q), min(ENTRIES, len(x))))], 1)
+
+
+def _layer(x: np.ndarray, width: int, above: list[np.ndarray]) -> np.ndarray:
+    """Neighbour lists of a layer, -1 where there are fewer: a row's own choices, and as many back lists of those that chose it.
+
+    The first rows are compared with each other. Then rows come in in batches: each looks for its nearest by a walk that
+    the layers ``above`` (top first) start, and among its batch; it never meets all others.
+    """
+    n = len(x)
+    graph = np.full((n, 2 * width), -1, np.int32)
+    start = 0
+    while start < n:
+        size = min(n - start, FIRST if not start else min(start, BATCH))
+        rows = np.arange(start, start + size)
+        own = x[rows] @ x[rows].T
+        np.fill_diagonal(own, -np.inf)
+        look = min(2 * width, size - 1)
+        top = np.argpartition(-own, max(look - 1, 0), axis=1)[:, :look] if look else np.zeros((size, 0), np.int64)
+        near, top = np.take_along_axis(own, top, 1), top + start
+        if start:
+            found, score = _beam(x, x[rows], graph, _entries(x, x[rows], above), BUILD)
+            top, near = np.concatenate([top, np.maximum(found, 0)], 1), np.concatenate([near, score], 1)
+        order = np.argsort(-near, axis=1, kind="stable")[:, : 2 * width]
+        top, near = np.take_along_axis(top, order, 1), np.take_along_axis(near, order, 1)
+        for i in range(0, size, 256):
+            graph[rows[i : i + 256], :width] = _chosen(x, top[i : i + 256], near[i : i + 256], width)
+        _give_back(x, graph, rows, graph[rows, :width], width)
+        start += size
+    return graph
+
+
 def build(ids: np.ndarray, vectors: np.ndarray, width: int = NEIGHBOURS) -> dict:
     """The graph of a shard: flat arrays, rows in order of layer, highest first."""
     level = _levels(ids)
@@ -99,8 +182,10 @@ def build(ids: np.ndarray, vectors: np.ndarray, width: int = NEIGHBOURS) -> dict
     extra = np.sqrt(np.maximum(0, scale**2 - norms))
     x = (np.concatenate([vectors, extra[:, None]], 1) / scale).astype(np.float32)
     sizes = [int((level >= k).sum()) for k in range(int(level.max()) + 1)]
-    layers = [_layer(x[:n], width) for n in sizes]
-    return {"ids": ids, "vectors": vectors, "sizes": sizes, "layers": layers}
+    layers: list[np.ndarray] = []  # top first
+    for n in sizes[::-1]:
+        layers.append(_layer(x[:n], width, layers))
+    return {"ids": ids, "vectors": vectors, "sizes": sizes, "layers": layers[::-1]}
 
 
 def _step(x: np.ndarray, q: np.ndarray, graph: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -126,46 +211,7 @@ def search(index: dict, queries: np.ndarray, width: int = WIDTH) -> np.ndarray:
     is that with the vector itself.
     """
     x, q = index["vectors"], queries.astype(np.float32)
-    n, m = len(x), len(q)
-    at = np.zeros(m, np.int64)
-    for k in range(len(index["layers"]) - 1, 0, -1):
-        at = _step(x, q, index["layers"][k], at)
-    graph = index["layers"][0]
-    seen = np.zeros((m, n + 1), bool)
-    seen[:, n] = True  # stands for -1
-    rows = np.arange(m)
-    # some more entries, spread over the higher layers' vectors, for parts that one way in doesn't reach
-    entry = np.concatenate([at[:, None], np.broadcast_to(np.arange(min(ENTRIES, n)), (m, min(ENTRIES, n)))], 1)
-    pool = np.full((m, width), n, np.int64)
-    score = np.full((m, width), -np.inf, np.float32)
-    open_ = np.zeros((m, width), bool)
-
-    def add(who: np.ndarray, new: np.ndarray) -> None:
-        """Put the vectors ``new`` (n: none) into the pools of the queries ``who``."""
-        new = np.sort(new, 1)
-        new[:, 1:][new[:, 1:] == new[:, :-1]] = n
-        new = np.where(seen[who[:, None], new], n, new)
-        seen[who[:, None], new] = True
-        s = np.where(new < n, np.einsum("ijd,id->ij", x[np.minimum(new, n - 1)], q[who]), -np.inf).astype(np.float32)
-        ids, sc = np.concatenate([pool[who], new], 1), np.concatenate([score[who], s], 1)
-        op = np.concatenate([open_[who], new < n], 1)
-        top = np.argsort(-sc, axis=1, kind="stable")[:, :width]
-        pool[who], score[who], open_[who] = (np.take_along_axis(v, top, 1) for v in (ids, sc, op))
-
-    add(rows, entry)
-    alive = rows
-    while len(alive):
-        alive = alive[open_[alive].any(1)]
-        if not len(alive):
-            break
-        # the four best that aren't looked at yet; none is left out while it is in the pool
-        pick = np.argsort(~open_[alive], axis=1, kind="stable")[:, :4]
-        valid = np.take_along_axis(open_[alive], pick, 1)
-        chosen = np.where(valid, np.take_along_axis(pool[alive], pick, 1), 0)
-        open_[alive[:, None], pick] = False
-        near = np.where(valid[:, :, None], graph[chosen], -1).reshape(len(alive), -1).astype(np.int64)
-        add(alive, np.where(near < 0, n, near))
-    return np.where(pool < n, pool, -1)
+    return _beam(x, q, index["layers"][0], _entries(x, q, index["layers"][:0:-1]), width)[0]
 
 
 def _index_rows(batch: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
