@@ -42,6 +42,11 @@ def merge_runs(runs: Sequence[DataFrame], keys: Sequence[str], seq: Sequence[str
     return (latest_per_key(merged, keys, order) if keep_deletes else live_view(merged, keys, order, tombstone)).drop("run_seq")
 
 
+def merge_numbered(changes: DataFrame, keys: Sequence[str], run: str, seq: Sequence[str], tombstone: str = "tombstone") -> DataFrame:
+    """As merge_runs, of runs that are one table with a column ``run``, larger for later: one scan, however many runs."""
+    return live_view(changes, keys, newest_first(run, *seq), tombstone)
+
+
 def merge_ordered(changes: DataFrame, keys: Sequence[str], ascending: Sequence[Column], tombstone: str = "tombstone") -> DataFrame:
     """Merge by an order of the caller's, ``ascending`` (nulls first): the last row of each key in that order wins, then deletes are dropped.
 

@@ -57,9 +57,7 @@ def live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select k, v, run from (select *, row_number() over (partition by k order by run desc, ts desc, event_id desc) rn from {E}) where rn = 1 and not tomb")
 def kmerge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    runs = [e.where(F.col("run") == i) for i in range(4)]
-    return resolve.merge_runs(runs, ["k"], ["ts", "event_id"], "tomb").select("k", "v", "run")
+    return resolve.merge_numbered(events(spark, sf_dir), ["k"], "run", ["ts", "event_id"], "tomb").select("k", "v", "run")
 
 
 @query(f"select k, v from (select *, row_number() over (partition by k order by v desc, event_id desc) rn from {E}) where rn = 1 and not tomb")
@@ -138,9 +136,7 @@ left join (select * from (select *, row_number() over (partition by k order by c
 )
 def tiered_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest tier first, and the first hit, be it a delete, ends the search: recency of tiers is a column."""
-    e = events(spark, sf_dir)
-    tiers = [e.where(F.col("run") == i) for i in (0, 1, 2, 3)]
-    return lookup.multi_get(customers(spark, sf_dir), resolve.merge_runs(tiers, ["k"], ["ts", "event_id"], "tomb"), "k", "v")
+    return lookup.multi_get(customers(spark, sf_dir), resolve.merge_numbered(events(spark, sf_dir), ["k"], "run", ["ts", "event_id"], "tomb"), "k", "v")
 
 
 # lookups
@@ -299,8 +295,8 @@ select p.k, (select min(block) from b where b.s <= p.k and p.k <= b.e) block fro
 )
 def block_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of fifty live keys, and the one that would hold each probe."""
-    one = Window.partitionBy("run").orderBy("k")
-    blocks = _live(spark, sf_dir).select(F.lit(0).cast("long").alias("run"), "k").withColumn("block", F.floor((F.row_number().over(one) - 1) / 50))
+    live = layout.ranked(_live(spark, sf_dir).select("k"), "k")
+    blocks = live.select(F.lit(0).cast("long").alias("run"), "k", F.floor(F.col("rank") / 50).alias("block"))
     probes = customers(spark, sf_dir).select(F.lit(0).cast("long").alias("run"), "k")
     return layout.block_lookup(probes, layout.block_index(blocks, "run", "block", "k"), "k").select("k", "block")
 
@@ -347,16 +343,20 @@ def size_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per block and codec, bytes before and after."""
+    """Per block and codec, bytes before and after, and whether all give the block back."""
     sized = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 100).alias("block"), "event_id", F.encode("props", "UTF-8").alias("body"))
     blocks = sized.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "body"))), lambda x: F.decode(x["body"], "UTF-8")), "\n").alias("text"))
 
-    @F.pandas_udf("struct<raw:long,gzip:long,deflate:long>")
+    @F.pandas_udf("struct<raw:long,gzip:long,deflate:long,snappy:long,zstd:long,same:boolean>")
     def sizes(text: pd.Series) -> pd.DataFrame:
-        data = [t.encode() for t in text]
-        return pd.DataFrame({"raw": [len(d) for d in data], "gzip": [len(gzip.compress(d, 6, mtime=0)) for d in data], "deflate": [len(zlib.compress(d, 6)) - 6 for d in data]})
+        rows = []
+        for data in (t.encode() for t in text):
+            packed = [gzip.compress(data, 6, mtime=0), zlib.compress(data, 6, -15), *(pa.Codec(c).compress(data, asbytes=True) for c in ("snappy", "zstd"))]
+            back = [gzip.decompress(packed[0]), zlib.decompress(packed[1], -15), *(pa.Codec(c).decompress(p, len(data), asbytes=True) for c, p in zip(("snappy", "zstd"), packed[2:], strict=True))]
+            rows.append((len(data), *map(len, packed), all(b == data for b in back)))
+        return pd.DataFrame(rows, columns=["raw", "gzip", "deflate", "snappy", "zstd", "same"])
 
-    return blocks.select("block", sizes("text").alias("s")).select("block", "s.raw", "s.gzip", "s.deflate")
+    return blocks.select("block", sizes("text").alias("s")).select("block", "s.*")
 
 
 @query(f"select k, 'user:' || printf('%08d', c_custkey) wide from {PROBES}")
@@ -466,7 +466,11 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.stats(cache.lru(_accesses(spark, sf_dir), "cache", ["event_id"], 20))
 
 
-@query()
+@query(
+    """with a as (select event_id, event_id % 4 run, user_id, user_id % 7 * 100 + 200 size, lag(event_id) over (partition by event_id % 4, user_id order by event_id) p from events),
+d as (select x.event_id, x.run, x.p, x.size, y.user_id other, any_value(y.size) between_size from a x left join a y on y.run = x.run and y.event_id > x.p and y.event_id < x.event_id group by all)
+select run, event_id, p is not null and coalesce(sum(between_size), 0) + size <= 6000 hit from d group by run, event_id, p, size"""
+)
 def lru_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of different sizes under a budget of bytes, a cache for each run."""
     e = table(spark, sf_dir, "events")
@@ -622,25 +626,27 @@ def manifest_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select key, value from {_run_order_live('event_id desc')}")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The changes as a stream of files, each micro-batch a run."""
+    """The changes as a stream of files, each micro-batch a run: three arrivals, the stream started again for each."""
     path = work_path(spark, "stream")
     source = changes(spark, sf_dir)
     top = source.agg(F.max("seq").alias("n")).first()["n"] + 1
     for i in range(3):
-        source.where((F.col("seq") >= top * i // 3) & (F.col("seq") < top * (i + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    store = Store(spark, f"{path}/table")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
-    upsert_stream(stream, store, f"{path}/checkpoint").awaitTermination()
+        source.where((F.col("seq") >= top * i // 3) & (F.col("seq") < top * (i + 1) // 3)).write.mode("append").parquet(f"{path}/in")
+        store = Store.open(spark, f"{path}/table")
+        stream = spark.readStream.schema(source.schema).parquet(f"{path}/in")
+        upsert_stream(stream, store, f"{path}/checkpoint").awaitTermination()
     return _told(store.live())
 
 
 @query("select event_id, user_id from events")
 def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event delivered twice, kept once, with state bounded by a watermark."""
+    """Each event delivered twice, kept once; the second half arrives when the watermark has let the state of the first go."""
     path = work_path(spark, "stream")
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    e.unionByName(e).coalesce(1).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(e.schema).parquet(f"{path}/in")
-    once = without_repeats(stream, "ts", "3650 days", "event_id")
-    once.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    ends = e.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+    middle = ends["a"] + (ends["z"] - ends["a"]) / 2
+    for half in (e.where(F.col("ts") <= middle), e.where(F.col("ts") > middle)):
+        half.unionByName(half).write.mode("append").parquet(f"{path}/in")
+        once = without_repeats(spark.readStream.schema(e.schema).parquet(f"{path}/in"), "ts", "10 minutes", "event_id")
+        once.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(e.schema).parquet(f"{path}/out").select("event_id", "user_id")

@@ -1,5 +1,8 @@
 """Every registered query of the engine against its SQL at the smallest scale."""
 
+import gzip
+import zlib
+
 import pytest
 from oracle import rows_of_spark, rows_of_sql
 
@@ -17,6 +20,34 @@ def test_query(spark, name):
         assert got == want
 
 
+def test_each_codec_gives_blocks_back(spark):
+    blocks = {}
+    for r in sorted(spark.read.parquet(f"{SF}/events.parquet").select("event_id", "props").collect()):
+        blocks.setdefault(r["event_id"] // 100, []).append(r["props"])
+    got = {r["block"]: r for r in QUERIES["compression_ratio"](spark, SF).collect()}
+    assert set(got) == set(blocks)
+    for block, rows in blocks.items():
+        data, r = "\n".join(rows).encode(), got[block]
+        assert r["same"] and r["raw"] == len(data) and r["gzip"] == len(gzip.compress(data, 6, mtime=0)) and r["deflate"] == len(zlib.compress(data, 6)) - 6
+        assert 0 < r["zstd"] < r["raw"] and 0 < r["snappy"] < r["raw"]
+
+
+def test_blocks_are_found_over_many_ranges(spark, request):
+    from runloom.operators import layout
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    assert layout._placed(spark.range(5000), "id").select(layout.PART).distinct().count() > 1
+    keys = spark.range(0, 5000, 2, 7).selectExpr("0L as run", "lpad(cast(id as string), 5, '0') as key")
+    ranked = layout.ranked(keys.select("key"), "key")
+    assert all(int(r["key"]) == 2 * r["rank"] for r in ranked.collect())
+    blocks = ranked.selectExpr("0L as run", "key", "rank div 100 as block")
+    probes = spark.range(-3, 5003, 1, 5).selectExpr("0L as run", "case when id < 0 then ' ' else lpad(cast(id as string), 5, '0') end as key").distinct()
+    for r in layout.block_lookup(probes, layout.block_index(blocks, "run", "block", "key")).collect():
+        i = int(r["key"]) if r["key"].strip() else -1
+        assert r["block"] == (i // 200 if 0 <= i <= 4998 and i % 200 != 199 else None), r
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
