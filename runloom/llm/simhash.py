@@ -396,7 +396,7 @@ def shingle_set(text: str | bytes, shingle: int) -> np.ndarray:
 #: Bands of least hashes, and hashes in each: sets that share 0.8 have no band in common once in 2,800 pairs.
 BANDS, ROWS = 20, 5
 #: A sketch has one bit of each of so many least hashes. Sets that share a part s have 1/2 + s/2 of these bits alike: at 0.8
-#: more than UNLIKE of them differ in one of 300,000 pairs, of sets that share nothing no more than that differ in one of 10^9.
+#: more than UNLIKE of them differ in one of 130,000 pairs, of sets that share nothing no more than that differ in one of 5 * 10^9.
 BITS, UNLIKE = 128, 29
 _TIMES, _PLUS = np.random.default_rng(11).integers(0, 1 << 63, (2, BITS), np.uint64) * np.uint64(2) + np.uint64(1)
 
