@@ -482,10 +482,18 @@ def leaders(members: DataFrame, similarity: float, component: int = COMPONENT) -
 
 #: Name of a column beside those of the documents.
 ROW = "_near_row"
+#: Rows up to which their hashes, 8 bytes each, and their labels are broadcast, so that no texts are shuffled; beyond, a join by shuffle.
+FEW = 1 << 20
 
 
-def classes(rows: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, bool]:
-    """``rows`` (row, doc_id, text) as classes of one set of shingles: node, at (the least doc_id and row), label; and whether a row is there twice.
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows``, a written table of hashes, to be broadcast if it has at most FEW."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def classes(rows: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame, bool]:
+    """``rows`` (row, doc_id, text) as classes of one set of shingles: node, at (the least doc_id and row), label; the different
+    rows; and whether a row is there twice.
 
     Classes that links reach share a label. Candidates are classes whose fingerprints lie within ``radius`` or that
     share a band of least hashes; they are linked only if their sketches are alike, so that chance doesn't
@@ -520,8 +528,8 @@ def classes(rows: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, bool
     nodes = contracted(nodes, block_links(nodes, shard_keys(nodes.count(), radius), _by_trees(radius)))
     for a, z in ((0, 4), (4, BANDS)):  # a few bands first: what they link meets as one in the others
         nodes = contracted(nodes, block_links(nodes, F.slice("bands", a + 1, z - a), _by_pivots))
-    twice = known.groupBy("row").count().where("count > 1").limit(1).count() > 0
-    return nodes.select("node", "at", "label"), twice
+    every, _ = written(known.groupBy("row").agg(F.count("*").alias("n")), "rows")
+    return nodes.select("node", "at", "label"), every.select("row"), every.where("n > 1").limit(1).count() > 0
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
@@ -538,7 +546,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 10, similarity:
     """
     marked = docs.withColumn(ROW, F.xxhash64(F.col("doc_id").isNull(), "doc_id", text_or_empty()))
     rows = marked.select(F.col(ROW).alias("row"), "doc_id", "text")
-    found, twice = classes(rows, shingle, radius)
+    found, every, twice = classes(rows, shingle, radius)
     groups = found.groupBy("label").agg(F.count("*").alias("k")).where("k > 1").select("label")
     suspects, _ = written(found.join(groups, "label").select(F.col("at.row").alias("row"), F.col("label").alias("component_id")), "suspects")
     kind = dict(docs.dtypes)["doc_id"]
@@ -548,12 +556,13 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 10, similarity:
             made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.list_(pa.int64()))], names=["component_id", "doc_id", "row", "shingles"])
 
-    texts = rows.join(suspects, "row").select("component_id", "doc_id", "row", text_or_empty().alias("text"))
+    texts = rows.join(_few(suspects), "row").select("component_id", "doc_id", "row", text_or_empty().alias("text"))
     members = texts.mapInArrow(sets, f"component_id long, doc_id {kind}, row long, shingles array<long>").dropDuplicates(["row"])
     stay = leaders(members, similarity)
     alone = found.select(F.col("at.row").alias("row"), "label").join(groups, "label", "left_anti").select("row")
-    keep, _ = written(alone.unionByName(stay).select(F.col("row").alias("_kept")).distinct(), "kept")
-    left = marked.join(keep, marked[ROW] == keep["_kept"], "left_semi")
+    keep, _ = written(alone.unionByName(stay).distinct(), "kept")
+    gone, _ = written(every.join(keep, "row", "left_anti").select(F.col("row").alias("_gone")), "gone")
+    left = marked.join(_few(gone), marked[ROW] == gone["_gone"], "left_anti")
     if not twice:
         return left.drop(ROW)
     hashed = F.xxhash64(*[c for c, k in docs.dtypes if "map<" not in k and k != "variant"])
