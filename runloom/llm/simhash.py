@@ -338,8 +338,10 @@ def shard_keys(fingerprints_: int, radius: int) -> list[Column]:
     keys = []
     for i, chosen in enumerate(combinations(bit_blocks(radius + agree), agree)):
         key = F.lit(i).cast("long")
+        narrow = sum(width for _, width in chosen) <= 48  # then the bits themselves name the shard, in few bytes
         for first, width in chosen:
-            key = F.xxhash64(key, F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)))
+            own = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+            key = F.shiftleft(key, width).bitwiseOR(own) if narrow else F.xxhash64(key, own)
         keys.append(key)
     return keys
 
