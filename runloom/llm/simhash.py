@@ -14,6 +14,10 @@ the fingerprints in order links neighbours, and linked ones share a label. Trees
 link labels only, a shard under one label is left out, and in a large shard only those
 ask that aren't of its commonest label; a pair within one label needs no link. So
 a group gives about one link for each of its members, however many pairs it has.
+
+Within ten bits, as whole documents are compared, a tree prunes next to nothing and many blocks
+have to agree, in hundreds of choices. There fingerprints are dealt by the first one or two
+agreeing blocks only, and a task goes through the choices of the others itself, in memory.
 """
 
 from __future__ import annotations
@@ -42,6 +46,10 @@ TOGETHER = 65_536
 AT_ONCE = 2_000_000
 #: Following fingerprints that the sweep compares each one with.
 SWEEP = 8
+#: Fingerprints of a shard that a task goes through by choices of blocks, on average; low bits that number the blocks it was dealt by.
+DEALT, CHOICE = 1 << 19, 10
+#: Places up to which fingerprints in order are compared by shifts.
+SHIFTS = 64
 #: Byte v's bits, each in a byte of its own.
 _SPREAD = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
 
@@ -223,7 +231,7 @@ def swept(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def _by_trees(radius: int):
-    def connect(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, labels: Labels) -> None:
+    def connect(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, labels: Labels, key: np.ndarray) -> None:
         held = np.flatnonzero(role != ASKS)
         first = np.flatnonzero(np.append(True, shard[held][1:] != shard[held][:-1]))
         sizes = np.diff(np.append(first, len(held)))
@@ -247,7 +255,96 @@ def _by_trees(radius: int):
     return connect
 
 
-def _by_pivots(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, labels: Labels) -> None:
+def choices(fingerprints_: int, radius: int) -> tuple[int, int]:
+    """How many blocks agree, and by how many of them fingerprints are dealt, at this many fingerprints: with the least work, and shards of at most DEALT on average."""
+
+    def work(agree: int) -> float:
+        n = radius + agree
+        return comb(n, agree) * (40 + 2.5 * fingerprints_ / 2 ** (64 * agree / n))  # nanoseconds: to sort by one choice, to compare with half a bucket
+
+    dealt = next((c for c in (1, 2) if fingerprints_ <= DEALT << (64 * c // (radius + c + 2))), 3)
+    return min(range(dealt, dealt + 4), key=work), dealt
+
+
+def first_keys(agree: int, dealt: int, radius: int) -> list[Column]:
+    """A key for each choice of the first ``dealt`` of ``agree`` blocks of fp; its lowest bits are the choice's number."""
+    blocks, keys = bit_blocks(radius + agree), []
+    for i, chosen in enumerate(combinations(range(radius + dealt), dealt)):
+        key = F.lit(0).cast("long")
+        for first, width in (blocks[c] for c in chosen):
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)))
+        keys.append(F.shiftleft(key, CHOICE).bitwiseOR(F.lit(i)))
+    return keys
+
+
+def _by_choices(agree: int, dealt: int, radius: int):
+    """Compare, in a shard of first_keys, what is alike in the other blocks of some choice: so all pairs within ``radius`` are."""
+    blocks = bit_blocks(radius + agree)
+    firsts = list(combinations(range(radius + dealt), dealt))
+
+    def in_shard(rows: np.ndarray, fp: np.ndarray, last: int, labels: Labels) -> None:
+        moved = len(rows)
+        for chosen in combinations(range(last + 1, radius + agree), agree - dealt):
+            if moved * 64 >= len(rows):  # in the order of labels, pairs within one are passed over
+                now = labels.now(rows)
+                if now.min() == now.max():
+                    return
+                by_label = np.argsort(now, kind="stable")
+                rows, label, moved = rows[by_label], now[by_label], 0
+                own = fp[rows]
+                parts = {b: (own >> np.uint64(blocks[b][0]) & np.uint64((1 << blocks[b][1]) - 1)).astype(np.uint16) for b in range(last + 1, radius + agree)}
+            key = np.zeros(len(rows), np.uint16)
+            for b in chosen:
+                key = (key << np.uint16(blocks[b][1])) ^ parts[b]  # bits beyond 16 go: that only makes buckets larger
+            order = np.argsort(key, kind="stable")
+            a, b = _near_in_buckets(own[order], key[order], label[order], radius)
+            a, b = rows[order[a]], rows[order[b]]
+            apart = labels.now(a) != labels.now(b)
+            moved += int(labels.join(a[apart], b[apart]).sum())
+
+    def connect(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, labels: Labels, key: np.ndarray) -> None:
+        edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
+        for start, stop in zip(edges, [*edges[1:], len(shard)], strict=True):
+            in_shard(np.arange(start, stop), fp, firsts[int(key[start]) & ((1 << CHOICE) - 1)][-1], labels)
+
+    return connect
+
+
+def _near_in_buckets(fp: np.ndarray, key: np.ndarray, label: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of pairs within ``radius``: all that share a key and not a label, maybe others. Sorted by key and label."""
+    here = np.arange(len(fp))
+    new_key = key[1:] != key[:-1]
+
+    def ends(new: np.ndarray) -> np.ndarray:
+        edges = np.append(np.flatnonzero(new) + 1, len(fp))
+        return np.repeat(edges, np.diff(edges, prepend=0))
+
+    bucket, run = ends(new_key), ends(new_key | (label[1:] != label[:-1]))
+    # what most have to compare with is compared by shifts of all, which gather nothing
+    shifts = min(SHIFTS, int(np.bincount(np.minimum(bucket - here - 1, SHIFTS + 1)).cumsum().searchsorted(0.7 * len(fp))))
+    found = []
+    for k in range(1, shifts + 1):
+        at = np.flatnonzero(np.bitwise_count(fp[k:] ^ fp[:-k]) <= radius)
+        found.append((at, at + k))
+    first = np.maximum(run, here + shifts + 1)
+    some = np.flatnonzero(first < bucket)
+    n = (bucket - first)[some]
+    total = np.cumsum(n)
+    start = 0
+    while start < len(some):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + AT_ONCE)))
+        m = n[start:stop]
+        a = np.repeat(some[start:stop], m)
+        b = np.arange(len(a)) + np.repeat(first[some[start:stop]] - (np.cumsum(m) - m), m)
+        near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+        found.append((a[near], b[near]))
+        start = stop
+    if not found:
+        return here[:0], here[:0]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _by_pivots(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, labels: Labels, key: np.ndarray) -> None:
     """Compare, shard by shard, one that asks with all that are there, rare labels first, until a shard has one label or nobody asks any more."""
     place, n = np.unique(np.stack([shard, labels.of], 1), axis=0, return_inverse=True, return_counts=True)[1:]
     rows = np.lexsort((n[place.ravel()], role == HELD, shard))
@@ -266,12 +363,12 @@ def _by_pivots(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, labels: Labe
 HELD, ASKS, BOTH = 0, 1, 2
 
 
-def block_links(nodes: DataFrame, keys: list[Column] | Column, connect, slice_rows: int = SLICE) -> DataFrame:
+def block_links(nodes: DataFrame, keys: list[Column] | Column, connect, slice_rows: int = SLICE, tree: int = TREE) -> DataFrame:
     """Links (a, b) of labels of ``nodes`` (fp, label, maybe sketches) that ``connect`` finds among nodes that share one of ``keys``.
 
     Nodes under one key form a shard. A shard of over ``slice_rows`` is left out if it has
     one label; else it is cut into cells of slices of those that ask, all that aren't of its commonest label,
-    and of those that are asked. Of the links within a batch of shards, only a spanning star of each connected
+    and of those that are asked, ``tree`` times as many. Of the links within a batch of shards, only a spanning star of each connected
     part is returned: less than there are labels, however many pairs there are.
     """
     spark = nodes.sparkSession
@@ -283,7 +380,7 @@ def block_links(nodes: DataFrame, keys: list[Column] | Column, connect, slice_ro
     if large.limit(1).count():
         of = dealt.join(large, "shard", "left_semi").groupBy("shard", "label").agg(F.count("*").alias("k"))
         sizes = of.groupBy("shard").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("label", "k").alias("main"))
-        cut = sizes.select("shard", "main", F.ceil((F.col("n") - F.col("most")) / slice_rows).cast("int").alias("slices"), F.ceil(F.col("n") / (TREE * slice_rows)).cast("int").alias("trees"))
+        cut = sizes.select("shard", "main", F.ceil((F.col("n") - F.col("most")) / slice_rows).cast("int").alias("slices"), F.ceil(F.col("n") / (tree * slice_rows)).cast("int").alias("trees"))
         cut, _ = written(cut, "slices")
 
         def numbers(n: str) -> Column:
@@ -307,7 +404,7 @@ def block_links(nodes: DataFrame, keys: list[Column] | Column, connect, slice_ro
         sketch = np.stack([t.column(c).to_numpy() for c in extra], 1).view(np.uint64)[some] if extra else None
         labels = Labels(label[some], sketch)
         if some.any():
-            connect(number[some], t.column("fp").to_numpy().view(np.uint64)[some], t.column("role").to_numpy()[some], labels)
+            connect(number[some], t.column("fp").to_numpy().view(np.uint64)[some], t.column("role").to_numpy()[some], labels, shard[some])
         return labels.links()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,7 +624,8 @@ def classes(rows: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, Data
     once = known.groupBy("node").agg(F.min(place).alias("at"), *[F.min(c).alias(c) for c in ("fp", *SKETCH)], F.min("bands").alias("bands"), F.first("node").alias("label"))
     nodes, _ = written(once, "nodes")
     nodes = contracted(nodes, swept(nodes, radius))
-    nodes = contracted(nodes, block_links(nodes, shard_keys(nodes.count(), radius), _by_trees(radius)))
+    agree, dealt = choices(nodes.count(), radius)
+    nodes = contracted(nodes, block_links(nodes, first_keys(agree, dealt, radius), _by_choices(agree, dealt, radius), 2 * DEALT, 1))
     for a, z in ((0, 4), (4, BANDS)):  # a few bands first: what they link meets as one in the others
         nodes = contracted(nodes, block_links(nodes, F.slice("bands", a + 1, z - a), _by_pivots))
     every, _ = written(known.groupBy("row").agg(F.count("*").alias("n")), "rows")
