@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import partitions, text_or_empty, written
 from .word_bpe import word_ids
@@ -189,25 +188,25 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     where = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = dealt.withColumn("rank", rank).join(starts, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    ranked = ranked.select(*cut.columns, "rank")
-    schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            sequence, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
-            order = np.argsort(size, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-                if len(rows):
-                    s = int(size[rows[0]])
-                    start, first, each, at = where.value[s]
-                    i = np.searchsorted(start, rank[rows], side="right") - 1
-                    k = rank[rows] - start[i]
-                    sequence[rows] = first[i] + k // each[i]
-                    offset[rows] = at[i] + k % each[i] * s
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:-1], "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, schema)
+    # a function of two columns: the ids stay in the JVM, for batches of rows in order of length are all long ones
+    @F.arrow_udf("struct<sequence_id: long, offset: long>")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        size, rank = length.to_numpy(), rank.to_numpy()
+        sequence, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+        order = np.argsort(size, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            if len(rows):
+                s = int(size[rows[0]])
+                start, first, each, at = where.value[s]
+                i = np.searchsorted(start, rank[rows], side="right") - 1
+                k = rank[rows] - start[i]
+                sequence[rows] = first[i] + k // each[i]
+                offset[rows] = at[i] + k % each[i] * s
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], names=["sequence_id", "offset"])
+
+    placed = ranked.select(*cut.columns, place("length", "rank").alias("place"))
+    return placed.select(*cut.columns, "place.sequence_id", "place.offset")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

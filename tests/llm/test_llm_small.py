@@ -396,6 +396,16 @@ def test_packing(spark, corpus):
     assert packing.pack(docs_of(spark, []), path).count() == 0
 
 
+def test_placing_leaves_ids_in_the_jvm(spark):
+    cut = spark.createDataFrame([(i, 0, 0, 3, i, [7, 8, i]) for i in range(40)], "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
+    placed = packing.pack_pieces(cut, 8)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython ") == 1
+    rows = placed.collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: [7, 8, i] for i in range(40)}
+    assert {(r.sequence_id, r.offset) for r in rows} == {(s, o) for s in range(20) for o in (0, 3)}
+
+
 def fewest(sizes, capacity):
     """Exhaustive: bins needed."""
     best = [len(sizes)]
