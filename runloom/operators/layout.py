@@ -83,14 +83,14 @@ def prefix_decoded(coded: DataFrame, block: Sequence[str], place: str) -> DataFr
 PART = "_part"
 
 
-def _placed(rows: DataFrame, *order: str) -> DataFrame:
+def _placed(rows: DataFrame, *order: str | Column) -> DataFrame:
     """``rows`` dealt out in ranges of ``order``, each task's with its number as PART; written, so that all readers see the same ranges."""
     path = work_path(rows.sparkSession, "placed")
     rows.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()).write.parquet(path)
     return rows.sparkSession.read.schema(T.StructType([*rows.schema.fields, T.StructField(PART, T.IntegerType())])).parquet(path)
 
 
-def ranked(rows: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame:
     """``rows`` with their place in ``order`` from 0: that in their range, and the sizes of the ranges before."""
     placed = _placed(rows, *order)
     sizes = placed.groupBy(PART).count()  # a row for each range
@@ -107,16 +107,17 @@ def block_lookup(probes: DataFrame, index: DataFrame, key: str = "key") -> DataF
     """Each probe with the block that would hold it: the first whose end is not before it, if its start isn't after it.
 
     Probes and block ends are merged in order of run and key and each probe takes the next
-    end, so that no probe is compared with every block. Tasks have ranges of that order, a large run
-    many of them; the first end of later ranges is carried over, one row for each range and run.
+    end, of alike ones that of the least block, so that no probe is compared with every block. Tasks have ranges of that order,
+    a large run many of them; the first end of later ranges is carried over, one row for each range and run.
+    Both go from the last row to the first: a frame that grows is kept up row by row, one that shrinks is made anew for each row.
     """
     ends = index.select("run", F.col("end_key").alias(key), F.struct("block", "start_key").alias("_block"), F.lit(1).alias("_side"))
     asked = probes.select("run", key, F.lit(None).cast(ends.schema["_block"].dataType).alias("_block"), F.lit(0).alias("_side"))
     rows = _placed(asked.unionByName(ends), "run", key)
     first = rows.groupBy("run", PART).agg(F.min(F.when(F.col("_side") == 1, F.struct(key, "_block"))).alias("_first"))
-    later = Window.partitionBy("run").orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
-    carried = first.select("run", PART, F.first("_first._block", ignorenulls=True).over(later).alias("_later"))
-    after = Window.partitionBy("run", PART).orderBy(key, "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = rows.withColumn("_next", F.first("_block", ignorenulls=True).over(after)).where("_side = 0").join(carried, ["run", PART])
+    later = Window.partitionBy("run").orderBy(F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = first.select("run", PART, F.last("_first._block", ignorenulls=True).over(later).alias("_later"))
+    after = Window.partitionBy("run", PART).orderBy(F.desc(key), F.desc("_side"), F.desc("_block")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_next", F.last("_block", ignorenulls=True).over(after)).where("_side = 0").join(carried, ["run", PART])
     found = found.withColumn("_next", F.coalesce("_next", "_later"))
     return found.select("run", key, F.when(F.col("_next.start_key") <= F.col(key), F.col("_next.block")).alias("block"))

@@ -295,7 +295,7 @@ select p.k, (select min(block) from b where b.s <= p.k and p.k <= b.e) block fro
 )
 def block_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of fifty live keys, and the one that would hold each probe."""
-    live = layout.ranked(_live(spark, sf_dir).select("k"), "k")
+    live = layout.ranked(_live(spark, sf_dir).select("k"), F.col("k").asc_nulls_last())
     blocks = live.select(F.lit(0).cast("long").alias("run"), "k", F.floor(F.col("rank") / 50).alias("block"))
     probes = customers(spark, sf_dir).select(F.lit(0).cast("long").alias("run"), "k")
     return layout.block_lookup(probes, layout.block_index(blocks, "run", "block", "k"), "k").select("k", "block")
